@@ -51,6 +51,7 @@ REVIEW_CUT = 25
 BLOCK_CUT = 50
 
 # Model features and the signal each one is about; the way from importances back to weights.
+# Daily velocity is a feature of both models, but not a signal.
 FEATURE_SIGNALS: dict[str, str] = {
     "amount": "high_amount",
     "failed_logins": "failed_logins",
@@ -62,6 +63,13 @@ FEATURE_SIGNALS: dict[str, str] = {
     "flag_cnp": "cnp",
     "flag_risky_merchant": "risky_merchant",
     "flag_high_risk_seg": "high_segment",
+    "flag_high_amount": "high_amount",
+    "flag_foreign": "foreign",
+    "flag_failed_logins": "failed_logins",
+    "flag_no_kyc": "no_kyc",
+    "flag_new_account": "new_account",
+    "flag_off_hours": "off_hours",
+    "flag_amt_spike": "amount_spike",
 }
 
 

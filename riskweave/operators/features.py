@@ -124,11 +124,13 @@ def feature_stats(
     """Count, mean, deviation, extremes and exact quartiles per feature, two decimals.
 
     Holding every distinct value in one place would not scale, so quartiles take two passes.
-    A sketch first brackets each quartile's rank between two values (its rank error is at most
-    1 / ``accuracy`` of the rows). Then values below a bracket are counted and only those
-    inside it, a few in ten thousand, are ordered.
+    A sketch first brackets each quartile's rank between two values. Its rank error is at most
+    1 / ``accuracy`` of the rows; the margin adds two such steps, which are more than one rank
+    each as soon as there are more than ``accuracy`` rows. Then values below a bracket are
+    counted and only those inside it, a few in ten thousand, are ordered. With fewer rows the
+    bracket is the whole column.
     """
-    margin = 2 / accuracy
+    margin = 3 / accuracy
     probes = [max(0.0, q - margin) for q in QUARTILES] + [min(1.0, q + margin) for q in QUARTILES]
     typed = features.select(*[F.col(n).cast("double").alias(n) for n in names])
     summary = typed.agg(
@@ -147,7 +149,7 @@ def feature_stats(
     summary = summary.select(F.inline(_by_feature(names, lambda n: F.col(n).alias("s")))).select(
         "feature", "s.*"
     )
-    quartiles = _quartiles(typed, summary, names)
+    quartiles = _quartiles(typed, summary, names, accuracy)
     return (
         summary.drop("probe")
         .join(quartiles, "feature", "left")
@@ -160,8 +162,9 @@ def feature_stats(
     )
 
 
-def _quartiles(typed: DataFrame, summary: DataFrame, names: Sequence[str]) -> DataFrame:
+def _quartiles(typed: DataFrame, summary: DataFrame, names: Sequence[str], accuracy: int) -> DataFrame:
     """Linear interpolation between the two ranks around (n - 1) * q, per feature."""
+    few = F.col("count") <= accuracy
     brackets = summary.select(
         "feature",
         F.col("count").alias("n"),
@@ -170,8 +173,10 @@ def _quartiles(typed: DataFrame, summary: DataFrame, names: Sequence[str]) -> Da
                 *[
                     F.struct(
                         F.lit(q).alias("q"),
-                        F.col("probe")[i].alias("low"),
-                        F.col("probe")[i + len(QUARTILES)].alias("high"),
+                        F.when(few, F.col("min")).otherwise(F.col("probe")[i]).alias("low"),
+                        F.when(few, F.col("max"))
+                        .otherwise(F.col("probe")[i + len(QUARTILES)])
+                        .alias("high"),
                     )
                     for i, q in enumerate(QUARTILES)
                 ]

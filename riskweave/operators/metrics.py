@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exact import percent
 from ..functions.signals import RISK_WEIGHTS, cuts_reached
 from .scoring import tally_levels
 from .skew import HOT_SHARE
@@ -204,6 +203,7 @@ def _sweep(levels: DataFrame, thresholds: Sequence[float], kind: str) -> DataFra
     rows = levels.agg(F.sum("fraud").alias("all_fraud"), F.array(*points).alias("points")).select(
         "all_fraud", F.inline("points")
     )
+    # The false positive rate is the share of flagged rows that are legitimate, in percent.
     return (
         rows.where("total > 0")
         .withColumn("precision", _share("fraud", F.col("fraud") + F.col("legit")))
@@ -213,7 +213,7 @@ def _sweep(levels: DataFrame, thresholds: Sequence[float], kind: str) -> DataFra
             "precision",
             "recall",
             _f1("precision", "recall").alias("f1"),
-            percent(F.col("legit"), F.col("total")).alias("fp_rate"),
+            (_share("legit", F.col("total")) * 100).alias("fp_rate"),
             F.col("fraud").alias("caught"),
             (F.col("all_fraud") - F.col("fraud")).alias("missed"),
         )

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.signals import FEATURE_SIGNALS
 
@@ -14,13 +14,10 @@ from ..functions.signals import FEATURE_SIGNALS
 MIN_WEIGHT = 5
 MAX_WEIGHT = 35
 
-# Importance tables have one row per model feature, so these windows are tiny.
-_ALL = Window.partitionBy(F.lit(1))
-
 
 def weights_linear(importance: DataFrame, low: int = MIN_WEIGHT, high: int = MAX_WEIGHT) -> DataFrame:
     """Share of the largest importance times ``high``, at least ``low``; 0 stays 0."""
-    top = F.max("importance").over(_ALL)
+    top = F.max("importance").over(_whole_table())
     scaled = _whole(F.col("importance") / F.nullif(top, F.lit(0.0).cast("double")) * high)
     weight = F.when(F.col("importance") == 0, 0).otherwise(F.greatest(scaled, F.lit(low)))
     return importance.select("feature", "importance", weight.alias("sql_weight")).orderBy(
@@ -34,7 +31,7 @@ def weights_minmax(importance: DataFrame, low: int = MIN_WEIGHT, high: int = MAX
     Where all of them are equal there is no spread and each gets ``high``.
     """
     active = F.when(F.col("importance") > 0, F.col("importance"))
-    smallest, largest = F.min(active).over(_ALL), F.max(active).over(_ALL)
+    smallest, largest = F.min(active).over(_whole_table()), F.max(active).over(_whole_table())
     spread = F.nullif(largest - smallest, F.lit(0.0).cast("double"))
     scaled = _whole(F.lit(low) + (F.col("importance") - smallest) / spread * (high - low))
     weight = F.when(F.col("importance") > 0, F.coalesce(scaled, F.lit(high))).otherwise(0)
@@ -49,6 +46,11 @@ def signal_weights(weights: DataFrame, features: Mapping[str, str] = FEATURE_SIG
     return {features[r.feature]: int(r.sql_weight) for r in rows if r.sql_weight > 0}
 
 
+def _whole_table() -> WindowSpec:
+    """Importance tables have one row per model feature, so this window is tiny."""
+    return Window.partitionBy(F.lit(1))
+
+
 def _whole(value: Column) -> Column:
     """Rounded to a whole number, halves to even."""
     return F.bround(value).cast("int")

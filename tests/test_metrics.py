@@ -1,0 +1,123 @@
+import random
+
+import pytest
+from rows import NOON, collected, frame, made, random_rows
+
+from riskweave.operators import metrics
+from riskweave.operators.coverage import low_signal_share, signal_coverage
+
+
+def scored(spark, pairs):
+    return spark.createDataFrame(pairs, "score double, is_fraud int")
+
+
+def test_ranking_with_ties(spark):
+    row = metrics.ranking_metrics(scored(spark, [(3.0, 1), (2.0, 1), (2.0, 0), (1.0, 0)]), "score").first()
+    assert (row.auc_roc, row.auc_pr) == (0.875, 0.833333)
+
+
+@pytest.mark.parametrize("grid", [1, 7, 1_000_000])
+@pytest.mark.parametrize("digits", [1, 2, 12])
+def test_ranking_equals_pairs(spark, grid, digits):
+    rng = random.Random(digits)
+    pairs = [(round(rng.random(), digits), int(rng.random() < 0.3)) for _ in range(300)]
+    pos, neg = ([s for s, y in pairs if y == k] for k in (1, 0))
+    wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+    precision, tp, seen = 0.0, 0, 0
+    for s in sorted({s for s, _ in pairs}, reverse=True):
+        here = [y for t, y in pairs if t == s]
+        tp, seen = tp + sum(here), seen + len(here)
+        precision += sum(here) / len(pos) * tp / seen
+    row = metrics.ranking_metrics(scored(spark, pairs), "score", grid=grid).first()
+    assert row.auc_roc == pytest.approx(wins / len(pos) / len(neg), abs=1e-6)
+    assert row.auc_pr == pytest.approx(precision, abs=1e-6)
+    assert (row.positives, row.negatives) == (len(pos), len(neg))
+
+
+def test_one_class_has_no_area(spark):
+    row = metrics.ranking_metrics(scored(spark, [(0.5, 0), (0.6, 0)]), "score").first()
+    assert (row.auc_roc, row.auc_pr) == (None, None)
+
+
+def test_confusion_and_report(spark):
+    pairs = [(1, 1)] * 3 + [(1, 0)] * 1 + [(0, 1)] * 2 + [(0, 0)] * 4
+    df = spark.createDataFrame(pairs, "is_fraud int, prediction int")
+    counts = metrics.confusion_counts(df)
+    cells = metrics.confusion_matrix(counts).first()
+    assert tuple(cells) == (4, 2, 1, 3)
+    report = {r["class"]: r for r in metrics.classification_report(counts).collect()}
+    assert (report["1"].precision, report["1"].recall, report["1"].support) == (0.6, 0.75, 4)
+    assert report["1"].f1_score == pytest.approx(2 / 3, abs=1e-6)
+    assert (report["0"].precision, report["0"].recall) == (0.8, pytest.approx(2 / 3, abs=1e-6))
+    assert report["accuracy"].f1_score == 0.7
+    assert report["macro avg"].precision == 0.7
+    assert report["weighted avg"].recall == 0.7
+
+
+def test_report_when_nothing_is_flagged(spark):
+    df = spark.createDataFrame([(1, 0), (0, 0)], "is_fraud int, prediction int")
+    report = {r["class"]: r for r in metrics.classification_report(metrics.confusion_counts(df)).collect()}
+    assert (report["1"].precision, report["1"].recall, report["1"].f1_score) == (0.0, 0.0, 0.0)
+
+
+def test_sweep_skips_thresholds_without_rows(spark):
+    df = scored(spark, [(0.1, 0), (0.3, 1), (0.55, 0)])
+    rows = metrics.threshold_sweep(df, "score").collect()
+    assert [r.threshold for r in rows] == [i / 100 for i in range(10, 56, 5)]
+    for r in rows:
+        assert r.precision + r.fp_rate / 100 == pytest.approx(1)
+        assert r.caught + r.missed == 1
+    # 0.15 to 0.30 flag the same two rows: the first of them wins.
+    assert metrics.best_threshold(metrics.threshold_sweep(df, "score")).first().threshold == 0.15
+
+
+def test_thresholds_must_ascend(spark):
+    with pytest.raises(ValueError, match="ascend"):
+        metrics.threshold_sweep(scored(spark, [(0.1, 0)]), "score", thresholds=(0.5, 0.1))
+
+
+def fired(row, means):
+    return sum(
+        [
+            (row["failed_logins"] or 0) > 2,
+            (row["amount"] or 0) > 800,
+            row["kyc_verified"] == 0,
+            row["risk_segment"] == "High",
+            row["merchant_cat"] in ("Crypto", "Gaming"),
+            row["country"] is None or row["txn_location"] is None or row["country"] != row["txn_location"],
+            row["amount"] is not None and row["user_id"] in means and row["amount"] > 3 * means[row["user_id"]],
+            row["account_age"] is not None and row["account_age"] < 30,
+            row["txn_time"] is not None and 2 <= row["txn_time"].hour <= 5,
+            row["txn_type"] == "CNP",
+        ]
+    )
+
+
+@pytest.mark.parametrize("hot_share", [0.0, 2.0])
+def test_signal_coverage(spark, hot_share):
+    rows = random_rows(8, n=500)
+    means = {}
+    for user in {r["user_id"] for r in rows} - {None}:
+        amounts = [r["amount"] for r in rows if r["user_id"] == user and r["amount"] is not None]
+        means[user] = sum(amounts) / len(amounts)
+    counts = {}
+    for r in rows:
+        if r["is_fraud"]:
+            n = fired(r, means)
+            counts[n] = counts.get(n, 0) + 1
+    got = signal_coverage(frame(spark, rows), hot_share).collect()
+    assert [(r.signals_fired, r.fraud_cases) for r in got] == sorted(counts.items())
+    total, running = sum(counts.values()), 0.0
+    for r in got:
+        share = round(r.fraud_cases / total * 100, 1)
+        running = round(running + share, 1)
+        assert (r.pct_of_fraud, r.cumulative_pct) == (share, running)
+    low = low_signal_share(frame(spark, rows), 3, hot_share).first()
+    assert low.low_signal_fraud == sum(c for n, c in counts.items() if n <= 3)
+    assert low.total_fraud == total
+
+
+def test_coverage_of_no_fraud_is_empty(spark):
+    df = made(spark, {"txn_time": NOON})
+    assert collected(signal_coverage(df)) == []
+    assert tuple(low_signal_share(df).first()) == (0, 0, None)

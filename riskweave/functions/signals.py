@@ -89,14 +89,13 @@ def score(weights: Mapping[str, int], signals: Mapping[str, str] = SIGNALS) -> C
     unknown = [name for name in weights if name not in signals]
     if unknown:
         raise ValueError(f"unknown signals: {', '.join(unknown)}")
-    terms = [F.when(F.expr(signals[name]), points).otherwise(0) for name, points in weights.items()]
-    return reduce(Column.__add__, terms, F.lit(0))
+    terms = [f"CASE WHEN {signals[name]} THEN {points:d} ELSE 0 END" for name, points in weights.items()]
+    return F.expr(" + ".join(terms) or "0")
 
 
 def any_rule(rules: Sequence[str] = HARD_RULES) -> Column:
     """True where at least one rule holds; never NULL."""
-    hits = [F.coalesce(F.expr(rule), F.lit(False)) for rule in rules]
-    return reduce(Column.__or__, hits, F.lit(False))
+    return F.expr(" OR ".join(f"coalesce({rule}, false)" for rule in rules) or "false")
 
 
 def cuts_reached(value: Column, cuts: Sequence[float]) -> Column:

@@ -113,9 +113,7 @@ def flag_counts(features: DataFrame) -> DataFrame:
     """How often each flag fires, most frequent first."""
     names = [c for c in features.columns if c.startswith("flag_")]
     sums = features.agg(*[F.sum(n).alias(n) for n in names])
-    return sums.select(F.inline(_by_feature(names, lambda n: F.col(n).alias("flagged")))).orderBy(
-        F.desc("flagged"), "feature"
-    )
+    return sums.unpivot([], names, "feature", "flagged").orderBy(F.desc("flagged"), "feature")
 
 
 def feature_stats(
@@ -126,33 +124,26 @@ def feature_stats(
     Holding every distinct value in one place would not scale, so quartiles take two passes.
     A sketch first brackets each quartile's rank between two values. Its rank error is at most
     1 / ``accuracy`` of the rows; the margin adds two such steps, which are more than one rank
-    each as soon as there are more than ``accuracy`` rows. Then values below a bracket are
-    counted and only those inside it, a few in ten thousand, are ordered. With fewer rows the
-    bracket is the whole column.
+    each as soon as there are more than ``accuracy`` rows. With fewer rows the bracket is the
+    whole column. A bracket that is a single value is the quartile itself. For the others,
+    values below are counted and only those inside, a few in ten thousand, are ordered.
     """
     margin = 3 / accuracy
     probes = [max(0.0, q - margin) for q in QUARTILES] + [min(1.0, q + margin) for q in QUARTILES]
-    typed = features.select(*[F.col(n).cast("double").alias(n) for n in names])
-    summary = typed.agg(
-        *[
-            F.struct(
-                F.count(n).alias("count"),
-                F.avg(n).alias("mean"),
-                F.stddev_samp(n).alias("std"),
-                F.min(n).alias("min"),
-                F.max(n).alias("max"),
-                F.percentile_approx(n, probes, accuracy).alias("probe"),
-            ).alias(n)
-            for n in names
-        ]
+    values = features.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot(
+        [], list(names), "feature", "value"
     )
-    summary = summary.select(F.inline(_by_feature(names, lambda n: F.col(n).alias("s")))).select(
-        "feature", "s.*"
+    summary = values.groupBy("feature").agg(
+        F.count("value").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.percentile_approx("value", probes, accuracy).alias("probe"),
     )
-    quartiles = _quartiles(typed, summary, names, accuracy)
+    quartiles = _quartiles(values, _brackets(summary, accuracy))
     return (
-        summary.drop("probe")
-        .join(quartiles, "feature", "left")
+        summary.join(quartiles, "feature", "left")
         .select(
             "feature",
             "count",
@@ -162,54 +153,46 @@ def feature_stats(
     )
 
 
-def _quartiles(typed: DataFrame, summary: DataFrame, names: Sequence[str], accuracy: int) -> DataFrame:
-    """Linear interpolation between the two ranks around (n - 1) * q, per feature."""
+def _brackets(summary: DataFrame, accuracy: int) -> DataFrame:
+    """Three rows per feature: values between which the quartile lies."""
     few = F.col("count") <= accuracy
-    brackets = summary.select(
-        "feature",
-        F.col("count").alias("n"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(q).alias("q"),
-                        F.when(few, F.col("min")).otherwise(F.col("probe")[i]).alias("low"),
-                        F.when(few, F.col("max"))
-                        .otherwise(F.col("probe")[i + len(QUARTILES)])
-                        .alias("high"),
-                    )
-                    for i, q in enumerate(QUARTILES)
-                ]
-            )
-        ).alias("b"),
-    ).select("feature", "n", "b.*")
-    values = typed.select(F.inline(_by_feature(names, lambda n: F.col(n).alias("value"))))
-    # Three rows per feature: the broadcast has a fixed size.
+    sides = [
+        F.struct(
+            F.lit(q).alias("q"),
+            F.when(few, F.col("min")).otherwise(F.col("probe")[i]).alias("low"),
+            F.when(few, F.col("max")).otherwise(F.col("probe")[i + len(QUARTILES)]).alias("high"),
+        )
+        for i, q in enumerate(QUARTILES)
+    ]
+    return summary.select("feature", F.col("count").alias("n"), F.inline(F.array(*sides)))
+
+
+def _quartiles(values: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Linear interpolation between the two ranks around (n - 1) * q, per feature."""
+    known = brackets.where("low = high").select("feature", "q", F.col("low").alias("quartile"))
+    # At most three rows per feature: the broadcast has a fixed size.
     near = (
-        values.join(F.broadcast(brackets), "feature")
+        values.join(F.broadcast(brackets.where("low < high")), "feature")
         .where(F.col("value") <= F.col("high"))
         .groupBy("feature", "q", "n", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    ascending = Window.partitionBy("feature", "q").orderBy(F.asc_nulls_first("value"))
-    upto = ascending.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = near.withColumn("_last", F.sum("rows").over(upto) - 1).withColumn(
-        "_first", F.col("_last") - F.col("rows") + 1
+    upto = (
+        Window.partitionBy("feature", "q")
+        .orderBy(F.asc_nulls_first("value"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    ranked = near.withColumn("end", F.sum("rows").over(upto))
     position = (F.col("n") - 1) * F.col("q")
-    lower = F.floor(position)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("value")))
+        """The value whose run of equal rows holds the rank, counted from 0."""
+        return F.max(F.when((F.col("end") - F.col("rows") <= rank) & (rank < F.col("end")), F.col("value")))
 
-    exact = ranked.groupBy("feature", "q", "n").agg(
-        at(lower).alias("low_value"), at(F.ceil(position)).alias("high_value")
+    ends = ranked.groupBy("feature", "q", "n").agg(
+        at(F.floor(position)).alias("low"), at(F.ceil(position)).alias("high")
     )
-    weight = position - lower
-    value = F.col("low_value") + (F.col("high_value") - F.col("low_value")) * weight
-    picks = [F.max(F.when(F.col("q") == q, value)).alias(f"q{int(q * 100)}") for q in QUARTILES]
-    return exact.groupBy("feature").agg(*picks)
-
-
-def _by_feature(names: Sequence[str], column) -> Column:
-    return F.array(*[F.struct(F.lit(n).alias("feature"), column(n)) for n in names])
+    between = F.col("low") + (F.col("high") - F.col("low")) * (position - F.floor(position))
+    found = ends.select("feature", "q", between.alias("quartile")).unionByName(known)
+    picks = [F.max(F.when(F.col("q") == q, F.col("quartile"))).alias(f"q{int(q * 100)}") for q in QUARTILES]
+    return found.groupBy("feature").agg(*picks)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.signals import RISK_WEIGHTS, cuts_reached
-from .scoring import tally_levels
+from .scoring import open_tallies, sum_tallies
 from .skew import HOT_SHARE
 
 # The thresholds that are swept.
@@ -162,7 +162,7 @@ def threshold_sweep_score(
     hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Precision and recall of flagging every row whose risk score reaches a threshold."""
-    levels = tally_levels(df, weights, thresholds, hot_share=hot_share)
+    levels = sum_tallies(open_tallies(df, weights, thresholds, hot_share=hot_share), "level")
     return _sweep(levels.select("level", "total", "fraud", "legit"), thresholds, "int")
 
 

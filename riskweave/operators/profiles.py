@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import cents, floor_div
-from .skew import HOT_SHARE, attach
+from .skew import HOT_SHARE, attach, row_total
 
 # Stands in for the day of a row without a time, which still has a user mean.
 _NO_DAY = "DATE'0001-01-01'"
@@ -45,6 +45,7 @@ def with_spike_limit(df: DataFrame, source: DataFrame, hot_share: float = HOT_SH
         ["user_id"],
         ["spike_limit"],
         rows="user_rows",
+        total=row_total(source),
         spread_by=[c for c in ("txn_id", "amount") if c in df.columns],
         hot_share=hot_share,
     )
@@ -56,10 +57,10 @@ def with_user_day(df: DataFrame, source: DataFrame | None = None, hot_share: flo
     User totals are summed from the user-day table, where no user has more rows than days.
     ``source`` gives other rows to take the statistics from, such as a training part.
     """
+    source = df if source is None else source
     day = F.coalesce(F.col("txn_time").cast("date"), F.expr(_NO_DAY))
     days = (
-        (df if source is None else source)
-        .where(F.col("user_id").isNotNull())
+        source.where(F.col("user_id").isNotNull())
         .groupBy("user_id", day.alias("txn_date"))
         .agg(
             F.count(F.lit(1)).alias("day_rows"),
@@ -87,6 +88,7 @@ def with_user_day(df: DataFrame, source: DataFrame | None = None, hot_share: flo
         ["user_id", "txn_date"],
         ["day_count", "user_mean", "spike_limit"],
         rows="day_rows",
+        total=row_total(source),
         spread_by=["txn_id"],
         hot_share=hot_share,
     )

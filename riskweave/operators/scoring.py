@@ -101,7 +101,7 @@ def score_decision(level: Column) -> Column:
 # -- tallied ---------------------------------------------------------------------------
 
 
-def tally_levels(
+def open_tallies(
     df: DataFrame,
     weights: Mapping[str, int],
     cuts: Sequence[int],
@@ -109,7 +109,7 @@ def tally_levels(
     settled: Column | None = None,
     hot_share: float = HOT_SHARE,
 ) -> DataFrame:
-    """Counts per ``by`` columns and per number of cut points the score reaches (``level``).
+    """Partial counts with ``by`` columns and the number of cut points reached (``level``).
 
     Only the spike signal needs the user's mean, and it matters only to a row whose other
     points lie just below a cut. All other rows collapse inside the scanning task, so what
@@ -135,9 +135,13 @@ def tally_levels(
         )
         .agg(*_tallies())
     )
-    known = with_spike_limit(groups, df, hot_share)
     level = F.when(F.col("amount") > F.col("spike_limit"), F.col("high")).otherwise(F.col("low"))
-    return known.groupBy(*by, level.alias("level")).agg(*[F.sum(c).alias(c) for c in TALLIES])
+    return with_spike_limit(groups, df, hot_share).select(*by, level.alias("level"), *TALLIES)
+
+
+def sum_tallies(tallies: DataFrame, *keys: Column | str) -> DataFrame:
+    """Partial counts added up per key."""
+    return tallies.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TALLIES])
 
 
 TALLIES = ("total", "labelled", "fraud", "legit", "fraud_cents")
@@ -162,11 +166,10 @@ def tally_hybrid(
     hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Counts per hybrid decision."""
-    tallied = tally_levels(
-        df, weights, (review_cut,), {"hard": any_rule(rules)}, F.col("hard"), hot_share
-    )
+    hard = {"hard": any_rule(rules)}
+    tallies = open_tallies(df, weights, (review_cut,), hard, F.col("hard"), hot_share)
     decision = hybrid_decision(F.col("hard"), F.col("level") >= 1)
-    return _regroup(tallied, decision)
+    return sum_tallies(tallies, decision.alias("decision"))
 
 
 def tally_score(
@@ -177,12 +180,8 @@ def tally_score(
     hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Counts per decision of the pure score."""
-    tallied = tally_levels(df, weights, (review_cut, block_cut), hot_share=hot_share)
-    return _regroup(tallied, score_decision(F.col("level")))
-
-
-def _regroup(tallied: DataFrame, decision: Column) -> DataFrame:
-    return tallied.groupBy(decision.alias("decision")).agg(*[F.sum(c).alias(c) for c in TALLIES])
+    tallies = open_tallies(df, weights, (review_cut, block_cut), hot_share=hot_share)
+    return sum_tallies(tallies, score_decision(F.col("level")).alias("decision"))
 
 
 def _scored(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key above this share of all rows is hot. Shares sum to one, so fewer than
+# A key with more than this share of all rows is hot. Shares sum to one, so fewer than
 # 1 / HOT_SHARE = 20,000 keys can be hot: that bounds every broadcast made here,
 # however large the data is.
 HOT_SHARE = 1 / 20_000
@@ -16,6 +16,11 @@ HOT_SHARE = 1 / 20_000
 _SPREAD = 4096
 
 
+def row_total(df: DataFrame) -> Column:
+    """Number of rows as a one-value subquery: a count over no columns, without a shuffle."""
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
 def attach(
     df: DataFrame,
     stats: DataFrame,
@@ -23,18 +28,19 @@ def attach(
     values: Sequence[str],
     *,
     rows: str,
+    total: Column,
     spread_by: Sequence[str],
     hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Left-join per-key statistics onto rows without sending a hot key to one task.
 
-    ``stats`` has one row per key and says in ``rows`` how many rows of ``df`` carry it. Hot
-    keys are looked up in a broadcast of bounded size; the other keys are joined by shuffle.
+    ``stats`` has one row per key and says in ``rows`` how many rows carry it, out of at most
+    ``total``. Hot keys are looked up in a broadcast of bounded size; the other keys are joined
+    by shuffle.
     Rows already answered, and rows without a key, take part in the shuffle under a spread
     key. ``spread_by`` names columns of ``df`` that differ between rows.
     """
     packed = F.struct(*values)
-    total = stats.agg(F.sum(rows)).scalar()
     hot_bar = F.col(rows) > total * hot_share
     hot = stats.where(hot_bar).select(*keys, packed.alias("_hot"))
     cold = stats.where(~hot_bar).select(
@@ -66,6 +72,7 @@ def pair_join(
     *,
     left_id: str,
     right_id: str,
+    total: Column,
     left_chunk: int = 1_000,
     right_chunk: int = 1_000_000,
     hot_share: float = HOT_SHARE,
@@ -75,30 +82,24 @@ def pair_join(
     A key with many rows on both sides yields their product. Its rows are cut into chunks on
     each side, and every chunk is copied once per chunk of the other side, so that a task sees
     about ``left_chunk`` x ``right_chunk`` of the pairs. Keys below the chunk sizes stay single.
+    ``total`` is at least the number of rows of either side.
     """
     sizes = _count(left, key, "_n_left").join(_count(right, key, "_n_right"), key).select(
-        key,
-        "_n_left",
-        "_n_right",
+        "*",
         _chunks("_n_left", left_chunk).alias("_left_parts"),
         _chunks("_n_right", right_chunk).alias("_right_parts"),
     )
     parts = ["_left_parts", "_right_parts"]
-    left = attach(left, sizes, [key], parts, rows="_n_left", spread_by=[left_id], hot_share=hot_share)
-    right = attach(right, sizes, [key], parts, rows="_n_right", spread_by=[right_id], hot_share=hot_share)
-    left = (
-        left.where(F.col("_left_parts").isNotNull())
-        .withColumn("_i", _own_chunk(left_id, "_left_parts"))
-        .withColumn("_j", _each_chunk("_right_parts"))
-        .drop(*parts)
+    common = {"total": total, "hot_share": hot_share}
+    sized_left = attach(left, sizes, [key], parts, rows="_n_left", spread_by=[left_id], **common)
+    sized_right = attach(right, sizes, [key], parts, rows="_n_right", spread_by=[right_id], **common)
+    cut_left = sized_left.where("_left_parts IS NOT NULL").select(
+        *left.columns, _own_chunk(left_id, "_left_parts").alias("_i"), _each_chunk("_right_parts").alias("_j")
     )
-    right = (
-        right.where(F.col("_right_parts").isNotNull())
-        .withColumn("_j", _own_chunk(right_id, "_right_parts"))
-        .withColumn("_i", _each_chunk("_left_parts"))
-        .drop(*parts)
+    cut_right = sized_right.where("_right_parts IS NOT NULL").select(
+        *right.columns, _own_chunk(right_id, "_right_parts").alias("_j"), _each_chunk("_left_parts").alias("_i")
     )
-    return left.join(right, [key, "_i", "_j"]).drop("_i", "_j")
+    return cut_left.join(cut_right, [key, "_i", "_j"]).drop("_i", "_j")
 
 
 def _count(df: DataFrame, key: str, name: str) -> DataFrame:

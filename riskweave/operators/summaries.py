@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import money, percent
 from ..functions.signals import BLOCK_CUT, REVIEW_CUT, RISK_WEIGHTS, SOFT_WEIGHTS, any_rule
-from .scoring import TALLIES, hybrid_decision, score_decision, tally_hybrid, tally_levels, tally_score
+from .scoring import TALLIES, hybrid_decision, open_tallies, score_decision, tally_hybrid, tally_score
 from .skew import HOT_SHARE
 
 DECISIONS = ("BLOCK", "REVIEW", "APPROVE")
@@ -72,7 +72,7 @@ def engine_comparison(df: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
     shift = sum(extra.values())
     wanted = {REVIEW_CUT, BLOCK_CUT, REVIEW_CUT - shift, BLOCK_CUT - shift}
     cuts = sorted(cut for cut in wanted if cut > 0)
-    both = tally_levels(
+    both = open_tallies(
         df,
         SOFT_WEIGHTS,
         cuts,

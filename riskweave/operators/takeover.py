@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import HOT_SHARE, pair_join
+from .skew import HOT_SHARE, pair_join, row_total
 from .travel import SLICE_SECONDS, travel_hops
 
 
@@ -57,7 +57,13 @@ def ato_geo_risk(
         "hours_between",
     )
     pairs = pair_join(
-        candidates, hops, "user_id", left_id="txn_id", right_id="hop_id", hot_share=hot_share
+        candidates,
+        hops,
+        "user_id",
+        left_id="txn_id",
+        right_id="hop_id",
+        total=row_total(df),
+        hot_share=hot_share,
     )
     out = pairs.select(
         "txn_id",

@@ -58,7 +58,18 @@ def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(_view(spark, sf_dir, "merchants"), MERCHANTS)
 
 
+# Definitions, not data: parsing the text and reading file footers once per session is enough.
+_VIEWS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _VIEWS:
+        _VIEWS[key] = _define(spark, sf_dir, name)
+    return _VIEWS[key]
+
+
+def _define(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # The tables are bound to this statement only, so that no session-wide view is left behind.
     text = VIEW_SQL.replace("FROM events", "FROM {events}").replace("FROM supplier", "FROM {supplier}")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "supplier")}

@@ -30,7 +30,7 @@ def signal_coverage(df: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
     counts = signals_fired(df, hot_share).groupBy("signals_fired").agg(F.count(F.lit(1)).alias("fraud_cases"))
     # The rows here are one per number of signals.
     whole = Window.partitionBy(F.lit(1))
-    running = Window.orderBy("signals_fired").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = whole.orderBy("signals_fired").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tenths = counts.withColumn(
         "_tenths", percent_1dp(F.col("fraud_cases"), F.sum("fraud_cases").over(whole))
     )

@@ -114,8 +114,9 @@ def ranking_metrics(
             F.count(F.when(F.col(label) != 1, 1)).alias("neg"),
         )
     )
-    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
+    descending = Window.partitionBy(F.lit(1)).orderBy(F.desc("cell"))
+    above = descending.rowsBetween(Window.unboundedPreceding, -1)
+    whole = descending.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = points.groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     offsets = cells.select(
         "cell",

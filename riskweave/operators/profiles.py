@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.exact import cents, floor_div
+from ..functions.exact import cents, floor_div, money
 from .skew import HOT_SHARE, attach, row_total
 
 # Stands in for the day of a row without a time, which still has a user mean.
@@ -69,19 +70,25 @@ def with_user_day(df: DataFrame, source: DataFrame | None = None, hot_share: flo
             F.sum(cents("amount")).alias("day_cents"),
         )
     )
-    users = days.groupBy("user_id").agg(
-        F.sum("day_amounts").alias("user_amounts"), F.sum("day_cents").alias("user_cents")
+    # A window rather than a join back: each user has one row per day here.
+    user = Window.partitionBy("user_id")
+    totals = days.select(
+        "user_id",
+        "txn_date",
+        "day_rows",
+        "day_count",
+        F.sum("day_amounts").over(user).alias("user_amounts"),
+        F.sum("day_cents").over(user).alias("user_cents"),
     )
-    users = users.select(
+    mean = money("user_cents") / F.nullif(F.col("user_amounts"), F.lit(0))
+    stats = totals.select(
         "user_id",
+        "txn_date",
+        "day_rows",
+        "day_count",
+        mean.alias("user_mean"),
         spike_limit("user_cents", "user_amounts").alias("spike_limit"),
-        (
-            F.col("user_cents").cast("double")
-            / F.nullif(F.col("user_amounts"), F.lit(0))
-            / F.lit(100.0).cast("double")
-        ).alias("user_mean"),
     )
-    stats = days.select("user_id", "txn_date", "day_rows", "day_count").join(users, "user_id")
     out = attach(
         df.withColumn("txn_date", day),
         stats,

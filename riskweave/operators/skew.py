@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 # however large the data is.
 HOT_SHARE = 1 / 20_000
 
-# Fixed number of slots over which rows that need no lookup are spread.
-_SPREAD = 4096
-
 
 def row_total(df: DataFrame) -> Column:
     """Number of rows as a one-value subquery: a count over no columns, without a shuffle."""
@@ -36,30 +33,29 @@ def attach(
 
     ``stats`` has one row per key and says in ``rows`` how many rows carry it, out of at most
     ``total``. Hot keys are looked up in a broadcast of bounded size; the other keys are joined
-    by shuffle.
-    Rows already answered, and rows without a key, take part in the shuffle under a spread
-    key. ``spread_by`` names columns of ``df`` that differ between rows.
+    by shuffle. Rows already answered, and rows without a key, take part in the shuffle under
+    a key made from ``spread_by``, columns that differ between rows. The first key is a long.
     """
     packed = F.struct(*values)
     hot_bar = F.col(rows) > total * hot_share
     hot = stats.where(hot_bar).select(*keys, packed.alias("_hot"))
-    cold = stats.where(~hot_bar).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.lit(0).alias("_slot"),
-        packed.alias("_cold"),
-    )
+    cold = stats.where(~hot_bar).select(*[F.col(k).alias(f"_c_{k}") for k in keys], packed.alias("_cold"))
     open_row = F.col("_hot").isNull()
     for key in keys:
         open_row &= F.col(key).isNotNull()
-    slot = F.pmod(F.xxhash64(*spread_by), F.lit(_SPREAD)).cast("int") + 1
+    first, *others = keys
     marked = df.join(F.broadcast(hot), list(keys), "left").select(
         *df.columns,
         "_hot",
-        *[F.when(open_row, F.col(k)).alias(f"_k_{k}") for k in keys],
-        F.when(open_row, 0).otherwise(slot).alias("_slot"),
+        open_row.alias("_open"),
+        # Rows with nothing to look up would all meet at one key; a digest spreads them.
+        F.when(open_row, F.col(first)).otherwise(F.xxhash64(*spread_by)).alias(f"_k_{first}"),
+        *[F.col(k).alias(f"_k_{k}") for k in others],
     )
-    found = marked.join(cold, [*[f"_k_{k}" for k in keys], "_slot"], "left")
-    return found.select(
+    match = F.col("_open")
+    for key in keys:
+        match &= F.col(f"_k_{key}") == F.col(f"_c_{key}")
+    return marked.join(cold, match, "left").select(
         *df.columns,
         *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values],
     )

@@ -32,9 +32,10 @@ def stratified_split(
 def _cuts(keyed: DataFrame, label: str, test_pct: int) -> DataFrame:
     slim = keyed.select(F.col(label).alias("_class"), "_key", F.left("_key", F.lit(_PREFIX)).alias("_bucket"))
     buckets = slim.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    classes = Window.partitionBy("_class")
-    upto = classes.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    quota = F.floor((F.sum("_n").over(classes) * test_pct + 50) / 100)
+    ascending = Window.partitionBy("_class").orderBy("_bucket")
+    upto = ascending.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ascending.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    quota = F.floor((F.sum("_n").over(whole) * test_pct + 50) / 100)
     placed = buckets.select(
         "_class", "_bucket", "_n", quota.alias("_quota"), F.sum("_n").over(upto).alias("_upto")
     )
@@ -45,7 +46,7 @@ def _cuts(keyed: DataFrame, label: str, test_pct: int) -> DataFrame:
     inside = slim.join(
         F.broadcast(holding), F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bucket") == F.col("_b"))
     )
-    rank = F.row_number().over(classes.orderBy("_key"))
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_key"))
     return (
         inside.withColumn("_rank", rank)
         .where(F.col("_rank") == F.col("_rest"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.exact import cents, epoch_second, money
 
@@ -73,9 +73,8 @@ def rolling_velocity_1h(df: DataFrame, ordered: bool = True) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("moment"),
         *_SUMS,
     )
-    group = Window.partitionBy("user_id", "second")
-    upto = group.orderBy("moment", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hour_sums = [_total(c, group, upto).alias(f"sum_{c}") for c in _SUMS]
+    group = Window.partitionBy("user_id", "second").orderBy("moment", "kind")
+    hour_sums = [_total(c, group, Window.currentRow).alias(f"sum_{c}") for c in _SUMS]
     hits = (
         events.unionByName(inner)
         .select("user_id", "kind", "moment", "rows", *hour_sums)
@@ -104,9 +103,8 @@ def _whole_seconds(moments: DataFrame) -> DataFrame:
             )
         ).alias("e"),
     ).select("user_id", "e.*", *_SUMS, F.floor(F.col("e.second") / _HOUR).alias("hour"))
-    group = Window.partitionBy("user_id", "hour")
-    before = group.orderBy("second", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    sums = [_total(c, group, before).alias(f"sum_{c}") for c in _SUMS]
+    group = Window.partitionBy("user_id", "hour").orderBy("second", "kind")
+    sums = [_total(c, group, -1).alias(f"sum_{c}") for c in _SUMS]
     return (
         events.select("user_id", "kind", "second", *sums)
         .where((F.col("kind") == _OWN) & (F.col("sum_rows") > 0))
@@ -114,13 +112,18 @@ def _whole_seconds(moments: DataFrame) -> DataFrame:
     )
 
 
-def _total(name: str, group, running) -> Column:
-    """Everything carried into the group, plus what has come, minus what has left by now."""
+def _total(name: str, group: WindowSpec, last: int) -> Column:
+    """Everything carried into the group, plus what has come, minus what has left by then.
+
+    Both frames share one order, so that the group is sorted once.
+    """
     value = F.col(name)
-    carried = F.sum(F.when(F.col("kind") == _OWN, 0).otherwise(value)).over(group)
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = F.sum(F.when(F.col("kind") == _OWN, 0).otherwise(value)).over(whole)
     moved = (
         F.when(F.col("kind") == _OWN, value)
         .when(F.col("kind").isin(_GONE, _GONE_SECOND), -value)
         .otherwise(0)
     )
+    running = group.rowsBetween(Window.unboundedPreceding, last)
     return carried + F.coalesce(F.sum(moved).over(running), F.lit(0))

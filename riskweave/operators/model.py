@@ -43,9 +43,9 @@ def train_model(train: DataFrame, spec: ModelSpec, label: str = "is_fraud") -> P
     rows = train.select(label, *spec.features).fillna(0)
     # Fitting reads its input several times; the features behind it cost shuffles.
     rows = rows.checkpoint()
-    ratio = F.broadcast(class_weights(rows, label).select("pos_weight"))
-    weight = F.when(F.col(label) == 1, F.coalesce("pos_weight", F.lit(1.0))).otherwise(1.0)
-    weighted = rows.join(ratio).withColumn("_weight", weight).drop("pos_weight")
+    ratio = class_weights(rows, label).select("pos_weight").scalar()
+    weight = F.when(F.col(label) == 1, F.coalesce(ratio, F.lit(1.0))).otherwise(1.0)
+    weighted = rows.withColumn("_weight", weight)
     trees = GBTClassifier(
         featuresCol="features",
         labelCol=label,
@@ -84,18 +84,15 @@ def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFra
 
 def model_report(scored: DataFrame, version: str, label: str = "is_fraud") -> DataFrame:
     """Ranking quality, share of fraud caught and false positives of one model, one row."""
-    ranking = ranking_metrics(scored, "probability", label).select("auc_roc", "auc_pr")
     cells = confusion_matrix(confusion_counts(scored, label))
-    caught = F.col("true_positives") / F.nullif(
-        F.col("true_positives") + F.col("false_negatives"), F.lit(0)
-    )
-    # Both sides are one row.
-    return ranking.join(F.broadcast(cells)).select(
+    fraud = F.nullif(F.col("true_positives") + F.col("false_negatives"), F.lit(0))
+    caught = cells.select(F.round(F.col("true_positives") / fraud * 100, 1)).scalar()
+    return ranking_metrics(scored, "probability", label).select(
         F.lit(version).alias("version"),
         "auc_roc",
         "auc_pr",
-        F.round(caught * 100, 1).alias("fraud_caught_pct"),
-        "false_positives",
+        caught.alias("fraud_caught_pct"),
+        cells.select("false_positives").scalar().alias("false_positives"),
     )
 
 

@@ -130,10 +130,8 @@ def feature_stats(
     """
     margin = 3 / accuracy
     probes = [max(0.0, q - margin) for q in QUARTILES] + [min(1.0, q + margin) for q in QUARTILES]
-    values = features.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot(
-        [], list(names), "feature", "value"
-    )
-    summary = values.groupBy("feature").agg(
+    values = features.select(F.posexplode(F.array(*[F.col(n).cast("double") for n in names])).alias("f", "value"))
+    summary = values.groupBy("f").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
@@ -142,10 +140,11 @@ def feature_stats(
         F.percentile_approx("value", probes, accuracy).alias("probe"),
     )
     quartiles = _quartiles(values, _brackets(summary, accuracy))
+    feature = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("f") + 1)
     return (
-        summary.join(quartiles, "feature", "left")
+        summary.join(quartiles, "f", "left")
         .select(
-            "feature",
+            feature.alias("feature"),
             "count",
             *[F.round(c, 2).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")],
         )
@@ -154,45 +153,52 @@ def feature_stats(
 
 
 def _brackets(summary: DataFrame, accuracy: int) -> DataFrame:
-    """Three rows per feature: values between which the quartile lies."""
+    """Three rows per feature: values between which the quartile at ``place`` lies."""
     few = F.col("count") <= accuracy
     sides = [
         F.struct(
-            F.lit(q).alias("q"),
+            F.lit(i).alias("quarter"),
+            ((F.col("count") - 1) * q).alias("place"),
             F.when(few, F.col("min")).otherwise(F.col("probe")[i]).alias("low"),
             F.when(few, F.col("max")).otherwise(F.col("probe")[i + len(QUARTILES)]).alias("high"),
         )
         for i, q in enumerate(QUARTILES)
     ]
-    return summary.select("feature", F.col("count").alias("n"), F.inline(F.array(*sides)))
+    return summary.select("f", F.inline(F.array(*sides)))
 
 
 def _quartiles(values: DataFrame, brackets: DataFrame) -> DataFrame:
     """Linear interpolation between the two ranks around (n - 1) * q, per feature."""
-    known = brackets.where("low = high").select("feature", "q", F.col("low").alias("quartile"))
+    known = brackets.where("low = high").select("f", "quarter", F.col("low").alias("quartile"))
     # At most three rows per feature: the broadcast has a fixed size.
+    unsure = F.broadcast(brackets.where("low < high"))
     near = (
-        values.join(F.broadcast(brackets.where("low < high")), "feature")
+        values.join(unsure, "f")
         .where(F.col("value") <= F.col("high"))
-        .groupBy("feature", "q", "n", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
+        .groupBy("f", "quarter", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     upto = (
-        Window.partitionBy("feature", "q")
+        Window.partitionBy("f", "quarter")
         .orderBy(F.asc_nulls_first("value"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = near.withColumn("end", F.sum("rows").over(upto))
-    position = (F.col("n") - 1) * F.col("q")
+    ranked = near.withColumn("end", F.sum("rows").over(upto)).join(
+        F.broadcast(brackets.select("f", "quarter", "place")), ["f", "quarter"]
+    )
+    place = F.col("place")
 
     def at(rank: Column) -> Column:
         """The value whose run of equal rows holds the rank, counted from 0."""
         return F.max(F.when((F.col("end") - F.col("rows") <= rank) & (rank < F.col("end")), F.col("value")))
 
-    ends = ranked.groupBy("feature", "q", "n").agg(
-        at(F.floor(position)).alias("low"), at(F.ceil(position)).alias("high")
+    ends = ranked.groupBy("f", "quarter", "place").agg(
+        at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high")
     )
-    between = F.col("low") + (F.col("high") - F.col("low")) * (position - F.floor(position))
-    found = ends.select("feature", "q", between.alias("quartile")).unionByName(known)
-    picks = [F.max(F.when(F.col("q") == q, F.col("quartile"))).alias(f"q{int(q * 100)}") for q in QUARTILES]
-    return found.groupBy("feature").agg(*picks)
+    between = F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))
+    found = ends.select("f", "quarter", between.alias("quartile")).unionByName(known)
+    picks = [
+        F.max(F.when(F.col("quarter") == i, F.col("quartile"))).alias(f"q{int(q * 100)}")
+        for i, q in enumerate(QUARTILES)
+    ]
+    return found.groupBy("f").agg(*picks)

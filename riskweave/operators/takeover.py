@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .skew import HOT_SHARE, pair_join, row_total
 from .travel import SLICE_SECONDS, travel_hops
 
 
+def is_takeover() -> Column:
+    """All four takeover signals hold."""
+    return F.expr("failed_logins > 2 AND txn_type = 'CNP' AND amount > 500 AND kyc_verified = 0")
+
+
 def takeover_rows(df: DataFrame) -> DataFrame:
     """Rows on which all four takeover signals hold; no shuffle, pushed to the scan."""
-    return df.where(
-        (F.col("failed_logins") > 2)
-        & (F.col("txn_type") == "CNP")
-        & (F.col("amount") > 500)
-        & (F.col("kyc_verified") == 0)
-    )
+    return df.where(is_takeover())
 
 
 def ato_risk(df: DataFrame, ordered: bool = True) -> DataFrame:

@@ -66,11 +66,14 @@ def features_v1(
 
 
 def features_v2(
-    df: DataFrame, stats_from: DataFrame | None = None, hot_share: float = HOT_SHARE
+    df: DataFrame,
+    stats_from: DataFrame | None = None,
+    unknown_ratio: float = 1.0,
+    hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Raw and engineered values per row, with key and label.
 
-    The ratio to the user's mean is 1 where the mean is unknown or zero.
+    The ratio to the user's mean is ``unknown_ratio`` where the mean is unknown or zero.
     """
     columns = {
         "failed_logins": F.col("failed_logins"),
@@ -87,7 +90,7 @@ def features_v2(
     late = {
         "amount": amount,
         "daily_velocity": F.col("day_count"),
-        "amt_vs_avg_ratio": F.coalesce(ratio, F.lit(1.0).cast("double")),
+        "amt_vs_avg_ratio": F.coalesce(ratio, F.lit(unknown_ratio).cast("double")),
     }
     return _build(df, columns, late, FEATURES_V2, stats_from, hot_share)
 

@@ -80,7 +80,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def dataset_check(df: DataFrame) -> DataFrame:
-    """Row count and label rate in percent, one row; column types are ``df.dtypes``."""
+    """Row count, label rate in percent, and columns with their types, one row."""
+    columns = ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.sum("is_fraud").alias("label_sum"),
@@ -88,7 +89,7 @@ def dataset_check(df: DataFrame) -> DataFrame:
     ).select(
         "row_count",
         percent(F.col("label_sum"), F.col("label_count")).alias("fraud_rate_pct"),
-        F.lit(len(df.columns)).cast("long").alias("column_count"),
+        F.lit(columns).alias("column_types"),
     )
 
 

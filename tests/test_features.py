@@ -66,6 +66,7 @@ def test_row_without_a_time_keeps_its_users_mean(spark):
 
 def test_mean_of_zero_gives_ratio_one(spark):
     assert features_v2(made(spark, {"amount": 0})).first().amt_vs_avg_ratio == 1.0
+    assert features_v2(made(spark, {"amount": 0}), unknown_ratio=0.0).first().amt_vs_avg_ratio == 0.0
 
 
 def test_statistics_may_come_from_other_rows(spark):

@@ -50,4 +50,6 @@ def test_views_and_merchants(spark, tmp_path):
 
 def test_dataset_check(spark):
     df = made(spark, {"is_fraud": 1}, {}, {}, {"is_fraud": None})
-    assert tuple(dataset_check(df).first()) == (4, 33.33, 17)
+    row = dataset_check(df).first()
+    assert (row.row_count, row.fraud_rate_pct) == (4, 33.33)
+    assert row.column_types.startswith("txn_id bigint, user_id bigint, txn_time timestamp_ntz, amount decimal(12,2)")

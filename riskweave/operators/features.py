@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,29 +125,57 @@ def feature_stats(
     """Count, mean, deviation, extremes and exact quartiles per feature, two decimals.
 
     Holding every distinct value in one place would not scale, so quartiles take two passes.
-    A sketch first brackets each quartile's rank between two values. Its rank error is at most
-    1 / ``accuracy`` of the rows; the margin adds two such steps, which are more than one rank
-    each as soon as there are more than ``accuracy`` rows. With fewer rows the bracket is the
-    whole column. A bracket that is a single value is the quartile itself. For the others,
-    values below are counted and only those inside, a few in ten thousand, are ordered.
+    The first, run at once, brings back one row per feature, with a sketch that brackets each
+    quartile's rank between two values. Its rank error is at most 1 / ``accuracy`` of the rows;
+    the margin adds two such steps, which are more than one rank each as soon as there are
+    more than ``accuracy`` rows. With fewer rows the bracket is the whole column. A bracket
+    that is a single value is the quartile itself. Only for the others the second pass counts
+    the values below and orders those inside, a few in ten thousand.
     """
     margin = 3 / accuracy
     probes = [max(0.0, q - margin) for q in QUARTILES] + [min(1.0, q + margin) for q in QUARTILES]
-    values = features.select(F.posexplode(F.array(*[F.col(n).cast("double") for n in names])).alias("f", "value"))
-    summary = values.groupBy("f").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.percentile_approx("value", probes, accuracy).alias("probe"),
+    summary = (
+        _long(features, names)
+        .groupBy("feature")
+        .agg(
+            F.count("value").alias("count"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.percentile_approx("value", probes, accuracy).alias("probe"),
+        )
+        .collect()
+    )
+    brackets = []
+    for row in summary:
+        for i, q in enumerate(QUARTILES):
+            if row["count"] > accuracy:
+                low, high = row.probe[i], row.probe[i + len(QUARTILES)]
+            else:
+                low, high = row.min, row.max
+            brackets.append((row.feature, i, (row["count"] - 1) * q, low, high))
+    spark = features.sparkSession
+    table = spark.createDataFrame(
+        brackets, "feature int, quarter int, place double, low double, high double"
+    )
+    unsure = {names[f] for f, _, _, low, high in brackets if low is not None and low < high}
+    found = table.where("low = high").select("feature", "quarter", F.col("low").alias("quartile"))
+    if unsure:
+        found = found.unionByName(_ranked(_long(features, names, unsure), table.where("low < high")))
+    picks = [
+        F.max(F.when(F.col("quarter") == i, F.col("quartile"))).alias(f"q{int(q * 100)}")
+        for i, q in enumerate(QUARTILES)
+    ]
+    totals = spark.createDataFrame(
+        [tuple(row)[:6] for row in summary],
+        "feature int, count long, mean double, std double, min double, max double",
     )
-    quartiles = _quartiles(values, _brackets(summary, accuracy))
-    feature = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("f") + 1)
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature") + 1)
     return (
-        summary.join(quartiles, "f", "left")
+        totals.join(found.groupBy("feature").agg(*picks), "feature", "left")
         .select(
-            feature.alias("feature"),
+            name.alias("feature"),
             "count",
             *[F.round(c, 2).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")],
         )
@@ -155,39 +183,29 @@ def feature_stats(
     )
 
 
-def _brackets(summary: DataFrame, accuracy: int) -> DataFrame:
-    """Three rows per feature: values between which the quartile at ``place`` lies."""
-    few = F.col("count") <= accuracy
-    sides = [
-        F.struct(
-            F.lit(i).alias("quarter"),
-            ((F.col("count") - 1) * q).alias("place"),
-            F.when(few, F.col("min")).otherwise(F.col("probe")[i]).alias("low"),
-            F.when(few, F.col("max")).otherwise(F.col("probe")[i + len(QUARTILES)]).alias("high"),
-        )
-        for i, q in enumerate(QUARTILES)
-    ]
-    return summary.select("f", F.inline(F.array(*sides)))
+def _long(features: DataFrame, names: Sequence[str], only: Collection[str] | None = None) -> DataFrame:
+    """One row per row and feature, the feature by its position in ``names``."""
+    kept = [(i, n) for i, n in enumerate(names) if only is None or n in only]
+    cells = [F.struct(F.lit(i).alias("feature"), F.col(n).cast("double").alias("value")) for i, n in kept]
+    return features.select(F.inline(F.array(*cells)))
 
 
-def _quartiles(values: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Linear interpolation between the two ranks around (n - 1) * q, per feature."""
-    known = brackets.where("low = high").select("f", "quarter", F.col("low").alias("quartile"))
+def _ranked(values: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Quartiles by linear interpolation between the two ranks around ``place``, (n - 1) * q."""
     # At most three rows per feature: the broadcast has a fixed size.
-    unsure = F.broadcast(brackets.where("low < high"))
     near = (
-        values.join(unsure, "f")
+        values.join(F.broadcast(brackets), "feature")
         .where(F.col("value") <= F.col("high"))
-        .groupBy("f", "quarter", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
+        .groupBy("feature", "quarter", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     upto = (
-        Window.partitionBy("f", "quarter")
+        Window.partitionBy("feature", "quarter")
         .orderBy(F.asc_nulls_first("value"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = near.withColumn("end", F.sum("rows").over(upto)).join(
-        F.broadcast(brackets.select("f", "quarter", "place")), ["f", "quarter"]
+        F.broadcast(brackets.select("feature", "quarter", "place")), ["feature", "quarter"]
     )
     place = F.col("place")
 
@@ -195,13 +213,8 @@ def _quartiles(values: DataFrame, brackets: DataFrame) -> DataFrame:
         """The value whose run of equal rows holds the rank, counted from 0."""
         return F.max(F.when((F.col("end") - F.col("rows") <= rank) & (rank < F.col("end")), F.col("value")))
 
-    ends = ranked.groupBy("f", "quarter", "place").agg(
+    ends = ranked.groupBy("feature", "quarter", "place").agg(
         at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high")
     )
     between = F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))
-    found = ends.select("f", "quarter", between.alias("quartile")).unionByName(known)
-    picks = [
-        F.max(F.when(F.col("quarter") == i, F.col("quartile"))).alias(f"q{int(q * 100)}")
-        for i, q in enumerate(QUARTILES)
-    ]
-    return found.groupBy("f").agg(*picks)
+    return ends.select("feature", "quarter", between.alias("quartile"))

@@ -134,7 +134,8 @@ def ranking_metrics(
             F.sum("pos").over(within).alias("pos_in"),
             F.sum("neg").over(within).alias("neg_in"),
         )
-        .join(offsets, "cell")
+        # Every cell matches. A left join adds no null filter, so both sides share the counts.
+        .join(offsets, "cell", "left")
         .withColumn("tp", (F.col("pos_above") + F.col("pos_in")).cast("double"))
         .withColumn("fp", (F.col("neg_above") + F.col("neg_in")).cast("double"))
     )

@@ -93,6 +93,15 @@ def test_stats_equal_pandas(spark, accuracy, n):
             assert row["std"] == pytest.approx(want[name]["std"], abs=0.00501)
 
 
+def test_stats_of_an_unknown_column(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    rows = {r.feature: tuple(r)[1:] for r in feature_stats(df, ("a", "b")).collect()}
+    assert rows == {
+        "a": (2, 2.0, 1.41, 1.0, 1.5, 2.0, 2.5, 3.0),
+        "b": (0, None, None, None, None, None, None, None),
+    }
+
+
 @pytest.mark.parametrize("test_pct", [0, 20, 100])
 def test_split_is_exact_per_class(spark, test_pct):
     rows = [{"txn_id": i, "is_fraud": int(i % 13 == 0)} for i in range(1, 301)]

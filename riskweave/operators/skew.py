@@ -61,54 +61,30 @@ def attach(
     )
 
 
-def pair_join(
+def fan_out_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     *,
     left_id: str,
-    right_id: str,
-    total: Column,
-    left_chunk: int = 1_000,
-    right_chunk: int = 1_000_000,
+    chunk: int = 1_000,
     hot_share: float = HOT_SHARE,
 ) -> DataFrame:
-    """Inner many-to-many join that splits a key's output over several tasks.
+    """Inner many-to-many join whose output per key is split over several tasks.
 
-    A key with many rows on both sides yields their product. Its rows are cut into chunks on
-    each side, and every chunk is copied once per chunk of the other side, so that a task sees
-    about ``left_chunk`` x ``right_chunk`` of the pairs. Keys below the chunk sizes stay single.
-    ``total`` is at least the number of rows of either side.
+    A key with many rows on both sides yields their product. The rows of a key that is hot on
+    the left are cut into chunks of about ``chunk``, and the key's right rows are copied once
+    per chunk, so that each chunk is a join key of its own. The list of hot keys is of bounded
+    size and broadcast. A key with much input on the right is split by Spark's skew join.
     """
-    sizes = _count(left, key, "_n_left").join(_count(right, key, "_n_right"), key).select(
-        "*",
-        _chunks("_n_left", left_chunk).alias("_left_parts"),
-        _chunks("_n_right", right_chunk).alias("_right_parts"),
-    )
-    parts = ["_left_parts", "_right_parts"]
-    common = {"total": total, "hot_share": hot_share}
-    sized_left = attach(left, sizes, [key], parts, rows="_n_left", spread_by=[left_id], **common)
-    sized_right = attach(right, sizes, [key], parts, rows="_n_right", spread_by=[right_id], **common)
-    cut_left = sized_left.where("_left_parts IS NOT NULL").select(
-        *left.columns, _own_chunk(left_id, "_left_parts").alias("_i"), _each_chunk("_right_parts").alias("_j")
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = counts.where(F.col("_n") > row_total(left) * hot_share).select(
+        key, F.ceil(F.col("_n") / F.lit(chunk)).alias("_chunks")
     )
-    cut_right = sized_right.where("_right_parts IS NOT NULL").select(
-        *right.columns, _own_chunk(right_id, "_right_parts").alias("_j"), _each_chunk("_left_parts").alias("_i")
+    parts = F.coalesce("_chunks", F.lit(1).cast("long"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    cut = left.join(F.broadcast(chunks), key, "left").select(
+        *left.columns, F.pmod(F.xxhash64(left_id), parts).alias("_chunk")
     )
-    return cut_left.join(cut_right, [key, "_i", "_j"]).drop("_i", "_j")
-
-
-def _count(df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
-
-
-def _chunks(rows: str, chunk: int) -> Column:
-    return F.ceil(F.col(rows) / F.lit(chunk))
-
-
-def _own_chunk(row_id: str, parts: str) -> Column:
-    return F.pmod(F.xxhash64(row_id), F.col(parts))
-
-
-def _each_chunk(parts: str) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    copied = right.join(F.broadcast(chunks), key, "left").select(*right.columns, each.alias("_chunk"))
+    return cut.join(copied, [key, "_chunk"]).drop("_chunk")

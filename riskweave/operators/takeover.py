@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import HOT_SHARE, pair_join, row_total
+from .skew import HOT_SHARE, fan_out_join
 from .travel import SLICE_SECONDS, travel_hops
 
 
@@ -50,21 +50,9 @@ def ato_geo_risk(
     candidates = takeover_rows(df).select("user_id", "txn_id", "amount", "txn_time", "failed_logins")
     suspects = df.join(candidates.select("user_id"), "user_id", "left_semi")
     hops = travel_hops(suspects, max_hours, slice_seconds).select(
-        "user_id",
-        F.col("txn_id").alias("hop_id"),
-        "current_country",
-        "prev_country",
-        "hours_between",
-    )
-    pairs = pair_join(
-        candidates,
-        hops,
-        "user_id",
-        left_id="txn_id",
-        right_id="hop_id",
-        total=row_total(df),
-        hot_share=hot_share,
+        "user_id", "current_country", "prev_country", "hours_between"
     )
+    pairs = fan_out_join(candidates, hops, "user_id", left_id="txn_id", hot_share=hot_share)
     out = pairs.select(
         "txn_id",
         "user_id",

@@ -91,15 +91,15 @@ def test_takeover_bounds(spark):
 
 
 @pytest.mark.parametrize("hot_share", [1 / 20_000, 0.2, 2.0])
-@pytest.mark.parametrize(("left_chunk", "right_chunk"), [(1000, 1_000_000), (2, 3)])
-def test_takeover_with_travel(spark, hot_share, left_chunk, right_chunk, monkeypatch):
+@pytest.mark.parametrize("chunk", [1000, 2])
+def test_takeover_with_travel(spark, hot_share, chunk, monkeypatch):
     from riskweave.operators import takeover as module
 
     def chunked(left, right, key, **options):
-        return pair_join(left, right, key, **options, left_chunk=left_chunk, right_chunk=right_chunk)
+        return fan_out_join(left, right, key, **options, chunk=chunk)
 
-    pair_join = module.pair_join
-    monkeypatch.setattr(module, "pair_join", chunked)
+    fan_out_join = module.fan_out_join
+    monkeypatch.setattr(module, "fan_out_join", chunked)
     rows = random_rows(5, n=500)
     expected = sorted(
         (

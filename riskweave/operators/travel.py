@@ -44,6 +44,8 @@ def travel_hops(df: DataFrame, max_hours: int = 2, slice_seconds: int = SLICE_SE
         "country",
         F.floor(epoch_second(moment) / slice_seconds).alias("slice"),
     )
+    # Rows that arrive partitioned by user, as after a join, would satisfy the window as they are.
+    rows = rows.repartition("user_id", "slice")
     in_slice = Window.partitionBy("user_id", "slice").orderBy("txn_time", "txn_id")
     here = F.struct("txn_time", "country")
     near = rows.select(

@@ -75,8 +75,10 @@ def rolling_velocity_1h(df: DataFrame, ordered: bool = True) -> DataFrame:
     )
     group = Window.partitionBy("user_id", "second").orderBy("moment", "kind")
     hour_sums = [_total(c, group, Window.currentRow).alias(f"sum_{c}") for c in _SUMS]
+    # Asked for, because rows already partitioned by user would satisfy the window as they are.
     hits = (
         events.unionByName(inner)
+        .repartition("user_id", "second")
         .select("user_id", "kind", "moment", "rows", *hour_sums)
         .where((F.col("kind") == _OWN) & (F.col("rows") * F.col("sum_rows") > 1))
     )
@@ -106,7 +108,8 @@ def _whole_seconds(moments: DataFrame) -> DataFrame:
     group = Window.partitionBy("user_id", "hour").orderBy("second", "kind")
     sums = [_total(c, group, -1).alias(f"sum_{c}") for c in _SUMS]
     return (
-        events.select("user_id", "kind", "second", *sums)
+        events.repartition("user_id", "hour")
+        .select("user_id", "kind", "second", *sums)
         .where((F.col("kind") == _OWN) & (F.col("sum_rows") > 0))
         .select("user_id", "second", *[F.col(f"sum_{c}").alias(c) for c in _SUMS])
     )

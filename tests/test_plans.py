@@ -1,5 +1,6 @@
 """What the physical plans must and must not contain, and that skewed rows are spread."""
 
+import re
 import sys
 from pathlib import Path
 
@@ -13,7 +14,8 @@ import __spark_entry__ as contract  # noqa: E402
 from riskweave.operators.profiles import with_spike_limit, with_user_day  # noqa: E402
 from riskweave.operators.skew import HOT_SHARE  # noqa: E402
 from riskweave.operators.summaries import hybrid_summary  # noqa: E402
-from riskweave.operators.takeover import ato_risk  # noqa: E402
+from riskweave.operators.takeover import ato_geo_risk, ato_risk  # noqa: E402
+from riskweave.operators.travel import impossible_travel  # noqa: E402
 from riskweave.operators.velocity import rolling_velocity_1h  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -67,6 +69,41 @@ def test_rolling_hour_spreads_a_hot_user(spark, shuffled_joins):
     assert largest_share(rolling_velocity_1h(frame(spark, rows), ordered=False)) < 0.2
 
 
+@pytest.mark.parametrize(
+    ("operator", "keys"),
+    [
+        (rolling_velocity_1h, ("second", "hour")),
+        (impossible_travel, ("slice",)),
+        (ato_geo_risk, ("slice",)),
+    ],
+)
+def test_windows_do_not_settle_for_rows_partitioned_by_user(spark, shuffled_joins, operator, keys):
+    df = frame(spark, random_rows(35, n=200)).repartition(16, "user_id")
+    text = plan(operator(df, ordered=False))
+    for key in keys:
+        assert re.search(rf"hashpartitioning\(user_id#\d+L?, {key}#", text), key
+
+
+def test_skew_join_applies_to_the_suspects_rows(spark, shuffled_joins):
+    settings = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "5k",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = random_rows(36, n=6000, users=300, hot_share=0.5)
+        df = frame(spark, rows).repartition(8)
+        out = ato_geo_risk(df, ordered=False, hot_share=2.0)
+        assert out.collect()
+        assert "SortMergeJoin(skew=true)" in plan(out)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 def test_hot_keys_fit_a_broadcast():
     assert 1 / HOT_SHARE <= 20_000
 

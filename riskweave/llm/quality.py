@@ -17,6 +17,7 @@ SAMPLE_ROWS = 1_000  # labelled documents of each class that a fit sees at most
 SAMPLE_CHARS = 50_000  # longer texts are scored, not learnt from
 DICTIONARY_BYTES = 409_600
 LEVEL = 3
+SHORT = 64  # bytes added to a length, so that a few bytes of text say little
 CHUNK_BYTES = 512  # texts are compressed in chunks, so that long ones do not learn themselves
 
 _RESULT = "doc_id long, score double, predicted int"
@@ -58,13 +59,13 @@ def dictionary(texts: list[str]) -> bytes:
 
 
 def difference(model: Model, text: str | None) -> float:
-    """(size by the bad dictionary - size by the good one) / size of the text, in bytes."""
+    """(size by the bad dictionary - size by the good one) / (bytes of the text + SHORT)."""
     data = (text or "").encode()
     if not data:
         return 0.0
     good, bad = model.compressors()
     chunks = _chunks(data)
-    return sum(len(bad.compress(c)) - len(good.compress(c)) for c in chunks) / len(data)
+    return sum(len(bad.compress(c)) - len(good.compress(c)) for c in chunks) / (len(data) + SHORT)
 
 
 def _chunks(data: bytes) -> list[bytes]:

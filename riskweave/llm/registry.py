@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from .ann import op7_ann
 from .bpe import op10_bpe
+from .embedding_dedup import op9_embedding_dedup
+from .extraction import op3_html
 from .language import op8_language
+from .minhash import op1_minhash
 from .packing import op6_packing
 from .quality import op4_quality
 from .toxicity import op5_toxicity
@@ -17,10 +21,14 @@ from .toxicity import op5_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": op1_minhash,
+        "op3_html": op3_html,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
+        "op7_ann": op7_ann,
         "op8_language": op8_language,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_bpe": op10_bpe,
         "pipeline": corpus_pipeline.run,
     }

@@ -6,8 +6,11 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -93,3 +96,25 @@ def ranked_sample(
         .select("doc_id", "y")
     )
     return documents.join(F.broadcast(chosen), "doc_id").select("text", "y")
+
+
+def mapped(df: DataFrame, function, used: tuple[str, ...], added: str, keep: tuple[str, ...] = ()):
+    """``df`` with columns ``added`` that ``function`` makes of lists of the columns ``used``.
+
+    Columns that are used leave unless they are in ``keep``; the others pass through as they are.
+    """
+    passed = [c for c in df.columns if c not in used or c in keep]
+    extra = StructType.fromDDL(added)
+    schema = StructType([df.schema[c] for c in passed] + extra.fields)
+
+    def run(batches):
+        types = to_arrow_schema(extra)
+        for batch in batches:
+            if batch.num_rows:
+                made = function(*(batch.column(c).to_pylist() for c in used))
+                new = [pa.array(m, f.type) for m, f in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in passed] + new, [*passed, *types.names]
+                )
+
+    return df.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, ranked_sample, remainder, table
+from .common import held_out, mapped, ranked_sample, remainder, table
 
 PIECES = "piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -23,7 +23,6 @@ REMEMBERED = 300_000  # distinct words a worker remembers
 LONGEST = 16  # characters of a piece at most
 
 _WORD = re.compile(r"[^\W\d_]+")
-_RESULT = "doc_id long, lang_pred string, score double"
 
 
 @dataclass(frozen=True)
@@ -129,18 +128,24 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score): the likeliest language of every text and its posterior.
+    """``documents`` with lang_pred and score instead of text, see ``annotate``."""
+    return annotate(documents.select("doc_id", "text"), model).drop("text")
+
+
+def annotate(documents: DataFrame, model: Model) -> DataFrame:
+    """``documents`` with (lang_pred, score): the likeliest language and its posterior.
 
     Whole texts are read. Null texts and texts without a letter are ``und`` with score 0, as is
     everything if nothing was learnt. Every row is answered, repeated ones too.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-
-    def answered(frames):
-        for frame in frames:
-            yield _answers(frame, shared.value)
-
-    return documents.select("doc_id", "text").mapInPandas(answered, _RESULT)
+    return mapped(
+        documents,
+        lambda texts: _answers(texts, shared.value),
+        ("text",),
+        "lang_pred string, score double",
+        keep=("text",),
+    )
 
 
 _known: dict[str, int] = {}
@@ -148,8 +153,8 @@ _scores: list[np.ndarray] = []
 _owner: list[Model] = []
 
 
-def _answers(frame: pd.DataFrame, model: Model) -> pd.DataFrame:
-    words = [_WORD.findall((text or "").lower()) for text in frame["text"]]
+def _answers(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
+    words = [_WORD.findall((text or "").lower()) for text in texts]
     places, scores = _places(words, model)
     best, posterior = [], []
     for some in places:
@@ -161,9 +166,7 @@ def _answers(frame: pd.DataFrame, model: Model) -> pd.DataFrame:
         top = int(total.argmax())
         best.append(model.languages[top])
         posterior.append(1.0 / float(np.exp(total - total[top]).sum()))
-    return pd.DataFrame(
-        {"doc_id": frame["doc_id"].astype("Int64"), "lang_pred": best, "score": posterior}
-    )
+    return best, posterior
 
 
 def _places(words: list[list[str]], model: Model) -> tuple[list[np.ndarray], np.ndarray]:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, remainder, table
+from .common import held_out, labelled_sample, mapped, remainder, table
 from .linear import scalar_logistic, sigmoid
 
 SAMPLE_ROWS = 1_000  # labelled documents of each class that a fit sees at most
@@ -20,7 +19,6 @@ LEVEL = 3
 SHORT = 64  # bytes added to a length, so that a few bytes of text say little
 CHUNK_BYTES = 512  # texts are compressed in chunks, so that long ones do not learn themselves
 
-_RESULT = "doc_id long, score double, predicted int"
 
 
 @dataclass(frozen=True)
@@ -106,26 +104,24 @@ def fit(documents: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE_ROWS)
 
 
 def score(documents: DataFrame, model: Model | float) -> DataFrame:
-    """(doc_id, score, predicted) of every whole text; empty and null texts have difference 0."""
+    """(doc_id, score, predicted) of every whole text; empty and null texts have difference 0.
+
+    Every row is answered, repeated ones too.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def scored(frames):
+    def scored(texts):
         known = shared.value
-        for frame in frames:
-            if isinstance(known, float):
-                p = np.full(len(frame), known)
-            else:
-                x = np.array([difference(known, text) for text in frame["text"]], dtype=float)
-                p = sigmoid(known.slope * x + known.intercept)
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"].astype("Int64"),
-                    "score": p,
-                    "predicted": (p >= 0.5).astype("int32"),
-                }
-            )
-
-    return documents.select("doc_id", "text").mapInPandas(scored, _RESULT)
+        if isinstance(known, float):
+            p = np.full(len(texts), known)
+        else:
+            x = np.array([difference(known, text) for text in texts], dtype=float)
+            p = sigmoid(known.slope * x + known.intercept)
+        return p, (p >= 0.5).astype("int32")
+
+    return mapped(
+        documents.select("doc_id", "text"), scored, ("text",), "score double, predicted int"
+    )
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

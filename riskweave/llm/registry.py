@@ -16,12 +16,14 @@ from .language import op8_language
 from .minhash import op1_minhash
 from .packing import op6_packing
 from .quality import op4_quality
+from .suffix import op2_suffix_array
 from .toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_suffix_array": op2_suffix_array,
         "op3_html": op3_html,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,

@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import held_out, labelled_sample, remainder, table
+from .common import held_out, labelled_sample, mapped, remainder, table
 from .linear import sigmoid, sparse_logistic
 
 SAMPLE_ROWS = 2_000  # labelled documents of each class that a fit sees at most
@@ -23,7 +23,6 @@ RIDGE = 1e-5
 REMEMBERED = 300_000  # distinct words a worker remembers
 
 _WORD = re.compile(r"[^\W\d_]+")
-_RESULT = "doc_id long, score double, predicted int"
 
 
 @dataclass(frozen=True)
@@ -94,30 +93,37 @@ def _learn(sets: list[np.ndarray], y: np.ndarray) -> Model:
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, predicted) of every whole text; empty and null texts score the intercept.
+    """``documents`` with score and predicted instead of text, see ``annotate``."""
+    return annotate(documents.select("doc_id", "text"), model).drop("text")
 
-    An n-gram counts once per document however often it occurs.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def scored(frames):
-        for frame in frames:
-            yield _scores(frame, shared.value)
+def annotate(documents: DataFrame, model: Model) -> DataFrame:
+    """``documents`` with (score, predicted) of every whole text.
 
-    return documents.select("doc_id", "text").mapInPandas(scored, _RESULT)
+    An n-gram counts once per document however often it occurs. Empty and null texts score the
+    intercept. Every row is answered, repeated ones too.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return mapped(
+        documents,
+        lambda texts: _scores(texts, shared.value),
+        ("text",),
+        "score double, predicted int",
+        keep=("text",),
+    )
 
 
 _known: dict[str, np.ndarray] = {}
 _owner: list[Model] = []
 
 
-def _scores(frame: pd.DataFrame, model: Model) -> pd.DataFrame:
+def _scores(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
     if not _owner or _owner[0] is not model or len(_known) > REMEMBERED:
         _known.clear()
         _owner[:] = [model]
     weights, known = model.weights, _known
-    out = np.full(len(frame), model.bias)
-    for k, text in enumerate(frame["text"]):
+    out = np.full(len(texts), model.bias)
+    for k, text in enumerate(texts):
         if not len(weights):
             continue
         some = words_of(text)
@@ -128,13 +134,7 @@ def _scores(frame: pd.DataFrame, model: Model) -> pd.DataFrame:
         if parts:
             out[k] += weights[np.unique(np.concatenate(parts))].sum(dtype=float)
     p = sigmoid(out)
-    return pd.DataFrame(
-        {
-            "doc_id": frame["doc_id"].astype("Int64"),
-            "score": p,
-            "predicted": (p >= 0.5).astype("int32"),
-        }
-    )
+    return p, (p >= 0.5).astype("int32")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from .common import mapped, release, store, table
 LENGTH = 200  # bytes of a repeated string
 SEED = 50  # bytes that an anchor is chosen and indexed by
 BATCHES = 4  # batches that a whole corpus is added in
+TEXTS_AT_A_TIME = 256
 
 _BASE = 0x9E3779B97F4A7C15
 _FULL = np.uint64(2**64 - 1)
@@ -121,29 +122,33 @@ def suffixes(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> Da
 
     def anchored(frames):
         for frame in frames:
-            parts = []
-            for row, text in zip(frame["row"], frame["text"], strict=True):
-                hashes = Hashes(np.frombuffer(text.encode(), np.uint8))
-                found = runs(hashes, length, seed)
-                if len(found.anchor):
-                    parts.append(
-                        pd.DataFrame(
-                            {
-                                "row": row,
-                                "seed": found.seed.view(np.int64),
-                                "zone": _zones(hashes, found, length).view(np.int64),
-                                "anchor": found.anchor,
-                            }
-                        )
-                    )
-            if parts:
-                yield pd.concat(parts)
+            for at in range(0, len(frame), TEXTS_AT_A_TIME):
+                some = frame.iloc[at : at + TEXTS_AT_A_TIME]
+                yield _suffixes(some["row"].to_numpy(), some["text"], length, seed)
 
     return documents.select("row", "text").mapInPandas(
         anchored, "row long, seed long, zone long, anchor int"
     )
 
 
+def _suffixes(rows: np.ndarray, texts, length: int, seed: int) -> pd.DataFrame:
+    seeds, zones, anchors = [], [], []
+    for text in texts:
+        hashes = Hashes(np.frombuffer(text.encode(), np.uint8))
+        found = runs(hashes, length, seed)
+        seeds.append(found.seed)
+        zones.append(_zones(hashes, found, length))
+        anchors.append(found.anchor)
+    return pd.DataFrame(
+        {
+            "row": np.repeat(rows, [len(a) for a in anchors]),
+            "seed": np.concatenate(seeds).view(np.int64),
+            "zone": np.concatenate(zones).view(np.int64),
+            "anchor": np.concatenate(anchors).astype(np.int32),
+        }
+    )
+
+
 class IndexFamily:
     """Sorted arrays of seeds, the levels, of sizes that grow geometrically.
 
@@ -297,6 +302,7 @@ def _looked_up(sought: DataFrame, length: int, seed: int) -> DataFrame:
         every.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"),
         "strings",
     )
+    release(sought.sparkSession)
     return every.join(repeated, "string").select("row", "start").distinct()
 
 

@@ -15,9 +15,10 @@ from .graph import components
 
 WORDS = 5  # of a shingle
 PERCENT = 80  # similarity that links, in percent
-BINS = 128  # of the one permutation
-ROWS = 4  # bins of a band: at a similarity of 0.8 all 32 bands miss a pair once in 10 million
-ROUND_GROWTH = 8  # how many times more centres of a bucket each further round tests
+BINS = 512  # of the one permutation
+ROWS = 8  # bins of a band: at a similarity of 0.8 all 64 bands miss a pair 8 times in a million
+FAMILIES = 8  # orders by which buckets choose their centre
+SECOND_CENTRES = 4  # about as many further centres in buckets that the first round leaves apart
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,10 +104,13 @@ def deduplicate(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     Documents with equal sets are one class, which its smallest doc_id stands for. In every
-    bucket the most central member, the one that shares most buckets, is the centre of a star;
-    edges from it are confirmed on full sets. Buckets whose members do not all reach each other
-    by then are tested again with more centres each round, so a link is never given up because
-    its bucket is large. Confirmed links make components.
+    bucket one member is the centre of a star: in an eighth of the buckets the one that shares
+    most buckets, in the others the first by an order of its family; edges from it are confirmed
+    on full sets. Buckets whose members do not all reach each other
+    by then get a second round: small ones compare all that are still apart, large ones some
+    more centres with them. So edges stay in proportion to members, and documents that are
+    alike still meet, as they share many buckets with different centres. Confirmed links make
+    components.
 
     Texts that are null or without words have an empty set and link with nothing. Rows without a
     doc_id have no component (null) and are not kept. Rows that repeat a doc_id are answered
@@ -153,9 +157,12 @@ def _links(documents: DataFrame, members: DataFrame, words: int, percent: int) -
     shared = store(members.join(sizes, "key"), "shared")
     central = store(shared.groupBy("id").agg(F.sum("size").alias("weight")), "central")
     weighted = store(shared.join(central, "id"), "weighted")
+    # Buckets of a family choose by the same order, so large ones mostly choose the same centre.
+    family = F.pmod("key", F.lit(FAMILIES))
+    order = F.when(family == 0, -F.col("weight")).otherwise(F.xxhash64("id", family))
     centres = store(
         weighted.groupBy("key").agg(
-            F.min_by("id", F.struct((-F.col("weight")).alias("w"), "id")).alias("centre")
+            F.min_by("id", F.struct(order.alias("order"), "id")).alias("centre")
         ),
         "centres",
     )
@@ -166,38 +173,31 @@ def _links(documents: DataFrame, members: DataFrame, words: int, percent: int) -
     release(documents.sparkSession)
     candidates = weighted.join(centres, "key").where("id <> centre")
     links = store(_confirmed(candidates, texts, words, percent), "links")
-    most = ROUND_GROWTH
-    open_buckets = weighted.select("key", "id", "size")
-    while True:
-        groups = components(links)
-        labelled = store(
-            open_buckets.join(groups, F.col("id") == F.col("node"), "left").select(
-                "key", "id", "size", F.coalesce("component", "id").alias("label")
-            ),
-            "labelled",
-        )
-        unsettled = store(
-            labelled.groupBy("key")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("size").alias("n"))
-            .where((F.col("low") < F.col("high")) & (F.col("n") > F.greatest(F.lit(2), F.lit(most // ROUND_GROWTH))))
-            .select("key"),
-            "unsettled",
-        )
-        if unsettled.isEmpty():
-            return links
-        rest = store(labelled.join(unsettled, "key"), "rest")
-        # A member is a centre of this round with probability about most / size.
-        share = F.greatest(F.lit(1), F.floor(F.col("size") / most)).cast("long")
-        more = store(
-            rest.where(F.pmod(F.xxhash64("id", "key"), share) == 0).select(
-                "key", F.col("id").alias("centre"), F.col("label").alias("centre_label")
-            ),
-            "centres",
-        )
-        pairs = rest.join(more, "key").where("label <> centre_label")
-        found = store(_confirmed(pairs, texts, words, percent), "links")
-        links = store(links.union(found), "links")
-        open_buckets, most = rest.select("key", "id", "size"), most * ROUND_GROWTH
+    groups = components(links)
+    labelled = store(
+        weighted.join(groups, F.col("id") == F.col("node"), "left").select(
+            "key", "id", "size", F.coalesce("component", "id").alias("label")
+        ),
+        "labelled",
+    )
+    apart = store(
+        labelled.groupBy("key")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .where("low < high")
+        .select("key"),
+        "apart",
+    )
+    rest = store(labelled.join(apart, "key"), "rest")
+    # A member is a further centre with probability about SECOND_CENTRES / size.
+    share = F.greatest(F.lit(1), F.floor(F.col("size") / SECOND_CENTRES)).cast("long")
+    more = store(
+        rest.where(F.pmod(F.xxhash64("id", family, F.lit(2)), share) == 0).select(
+            "key", F.col("id").alias("centre"), F.col("label").alias("centre_label")
+        ),
+        "centres",
+    )
+    pairs = rest.join(more, "key").where("label <> centre_label")
+    return links.union(store(_confirmed(pairs, texts, words, percent), "links"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

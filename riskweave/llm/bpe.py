@@ -2,9 +2,11 @@
 
 Exploding every word with its position would shuffle several times the corpus. Documents are
 therefore taken in blocks: a block lists its distinct words once, and a document is the run of
-their numbers in text order, which is what position by position rows would say. Words are
-shuffled by themselves, encoded once each, joined back to the blocks' lists, and every block
-puts its documents together again.
+their numbers in text order, which is what position by position rows would say. The lists are
+shuffled by a hash of the word, so that all mentions of a word meet, are encoded once there and
+go back to their blocks, where every document is put together again. Lists travel packed: one
+row for what a block has of a share of the words. There are as many shares as the corpus has
+blocks, so neither shares nor blocks grow with it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from . import vocabulary
 from .common import table
 
-BLOCK_CHARS = 16_000_000  # characters after which a block closes
+BLOCK_CHARS = 4_000_000  # characters after which a block closes
+LEAST_SHARES = 64  # shares of words, in a small corpus
 
 
 def encode(documents: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -32,18 +35,19 @@ def encode(documents: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     with the signs around them. Rows that repeat a doc_id, or have none, are encoded each.
     """
     source = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    shares = max(LEAST_SHARES, chars // block_chars)
     numbered = source.mapInPandas(
         lambda frames: map(_numbered, _blocks(frames, block_chars)),
-        "block string, doc_id long, numbers binary",
+        "block long, doc_id long, numbers binary",
     )
     listed = source.mapInPandas(
-        lambda frames: map(_listed, _blocks(frames, block_chars)),
-        "block string, number int, word string",
+        lambda frames: (_listed(block, shares) for block in _blocks(frames, block_chars)),
+        "block long, share int, numbers binary, words binary",
     )
-    encoded = (
-        listed.select("word").distinct().mapInPandas(_encoded, "word string, word_ids binary")
+    answers = listed.groupBy("share").applyInPandas(
+        _encoded, "block long, numbers binary, sizes binary, ids binary"
     )
-    answers = listed.join(encoded, "word").select("block", "number", "word_ids")
     return (
         numbered.groupBy("block")
         .cogroup(answers.groupBy("block"))
@@ -86,60 +90,106 @@ def _blocks(frames, block_chars: int):
         yield _block(ids, texts)
 
 
-def _block(ids: list, texts: list[str]) -> tuple[str, list, list[list[str]], dict[str, int]]:
-    name = xxhash.xxh3_128()
+def _block(ids: list, texts: list[str]) -> tuple[int, list, list[np.ndarray], list[str]]:
+    """(name, doc_ids, numbers of each document's words, words by number)."""
+    name = xxhash.xxh3_64()
+    counts = Counter()
     for doc_id, text in zip(ids, texts, strict=True):
         data = text.encode()
         name.update(f"{doc_id} {len(data)} ")
         name.update(data)
-    words = [[w for w in vocabulary.cut(text) if w] for text in texts]
-    counts = Counter()
-    for some in words:
-        counts.update(some)
-    numbers = {word: k for k, (word, _) in enumerate(counts.most_common())}
-    return name.hexdigest(), ids, words, numbers
+        counts.update(vocabulary.cut(text))
+    words = [word for word, _ in counts.most_common() if word]
+    number = {word: k for k, word in enumerate(words)}
+    number[""] = -1
+    runs = []
+    for text in texts:
+        some = vocabulary.cut(text)
+        run = np.fromiter(map(number.__getitem__, some), np.int64, len(some))
+        runs.append(run[run >= 0].astype("<u4"))
+    return name.intdigest() - 2**63, ids, runs, words
 
 
 def _numbered(block) -> pd.DataFrame:
-    name, ids, words, numbers = block
-    pack = zstandard.ZstdCompressor(level=1).compress
-    runs = [
-        pack(_planes(np.fromiter(map(numbers.__getitem__, some), "<u4", len(some))))
-        for some in words
-    ]
+    name, ids, runs, _ = block
     return pd.DataFrame(
-        {"block": name, "doc_id": pd.array(ids, dtype="Int64"), "numbers": runs}
+        {
+            "block": name,
+            "doc_id": pd.array(ids, dtype="Int64"),
+            "numbers": [_packed(run) for run in runs],
+        }
     )
 
 
-def _planes(numbers: np.ndarray) -> bytes:
+def _packed(numbers: np.ndarray) -> bytes:
     """First the low bytes of all numbers, then the next: frequent words have low numbers."""
-    return numbers.view("u1").reshape(-1, 4).T.tobytes()
+    planes = np.ascontiguousarray(numbers, "<u4").view("u1").reshape(-1, 4).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
-def _listed(block) -> pd.DataFrame:
-    name, _, _, numbers = block
-    words = list(numbers)
-    return pd.DataFrame({"block": name, "number": np.arange(len(words)), "word": words})
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), "u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _encoded(frames):
-    ids_of = vocabulary.encoding().encode_ordinary
-    for frame in frames:
-        ids = [np.array(ids_of(word), "<u4").tobytes() for word in frame["word"]]
-        yield frame.assign(word_ids=ids)
+def _listed(block, shares: int) -> pd.DataFrame:
+    """What the block has of each share of the words: their numbers, and the words themselves."""
+    name, _, _, words = block
+    share_of = np.array([xxhash.xxh3_64_intdigest(w) % shares for w in words], np.int64)
+    order = np.argsort(share_of, kind="stable")
+    some, starts = np.unique(share_of[order], return_index=True)
+    groups = np.split(order, starts[1:]) if len(words) else []
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    return pd.DataFrame(
+        {
+            "block": name,
+            "share": some.astype("int32"),
+            "numbers": [_packed(group) for group in groups],
+            "words": [squeeze(_joined([words[k].encode() for k in group])) for group in groups],
+        }
+    )
+
+
+def _joined(words: list[bytes]) -> bytes:
+    """Their lengths, four bytes each, and the words; the first number says how many."""
+    return np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words)
+
+
+def _split(data: bytes) -> list[str]:
+    count = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = 4 * (count + 1) + np.cumsum(np.frombuffer(data, "<u4", count, 4))
+    starts = [4 * (count + 1), *ends.tolist()]
+    return [data[a:b].decode() for a, b in zip(starts, ends.tolist(), strict=False)]
+
+
+def _encoded(frame: pd.DataFrame) -> pd.DataFrame:
+    """Encode each distinct word of a share once, and answer every block that lists it."""
+    ids_of, known = vocabulary.encoding().encode_ordinary, {}
+    sizes, ids = [], []
+    for data in frame["words"]:
+        found = []
+        for word in _split(zstandard.decompress(data)):
+            if word not in known:
+                known[word] = np.array(ids_of(word), "<u4").tobytes()
+            found.append(known[word])
+        sizes.append(_packed(np.array([len(f) // 4 for f in found])))
+        ids.append(_packed(np.frombuffer(b"".join(found), "<u4")))
+    return frame[["block", "numbers"]].assign(sizes=sizes, ids=ids)
 
 
 def _assembled(documents: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    answers = answers.drop_duplicates("number").sort_values("number")
-    ids_of = answers["word_ids"].tolist()
-    unpack = zstandard.ZstdDecompressor().decompress
+    ids_of: dict[int, bytes] = {}
+    for row in answers.itertuples():
+        ids = _unpacked(row.ids)
+        cuts = np.cumsum(_unpacked(row.sizes)[:-1].astype(np.int64))
+        for number, some in zip(_unpacked(row.numbers).tolist(), np.split(ids, cuts), strict=True):
+            ids_of[number] = some.tobytes()
     out = []
     for packed in documents["numbers"]:
-        numbers = np.frombuffer(unpack(packed), "u1").reshape(4, -1).T.copy().view("<u4").ravel()
-        if len(numbers) and int(numbers.max()) >= len(ids_of):
-            raise ValueError("a block was cut differently when it was read again")
-        joined = b"".join(map(ids_of.__getitem__, numbers.tolist()))
+        try:
+            joined = b"".join(map(ids_of.__getitem__, _unpacked(packed).tolist()))
+        except KeyError as error:
+            raise ValueError("a block was cut differently when it was read again") from error
         out.append(np.frombuffer(joined, "<u4").astype("i4"))
     return pd.DataFrame({"doc_id": documents["doc_id"].astype("Int64"), "ids": out})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from dataclasses import dataclass
@@ -79,7 +80,7 @@ class Block:
 def parse(page: str | None) -> tuple[list[Element], list[Block]]:
     """Elements in order of opening, and blocks of text in page order."""
     page = page or ""
-    elements = [Element("", -1, "", False, False, False, 0.0, False)]
+    elements = [Element("", -1, "", False, False, False, 0.5, False)]
     stack, blocks = [0], []
     parts: list[tuple[str, bool]] = []
     at = 0
@@ -180,7 +181,7 @@ def _element(elements: list[Element], parent: int, tag: str, attributes: str) ->
     return Element(
         tag,
         parent,
-        f"{above.path}>{generalised}" if above.path else generalised,
+        _path(above.path, generalised) if tag in BLOCKS or body else above.path,
         above.dropped
         or tag in DROPPED
         or unwanted
@@ -194,6 +195,13 @@ def _element(elements: list[Element], parent: int, tag: str, attributes: str) ->
     )
 
 
+def _path(above: str, own: str) -> str:
+    """Inline elements add nothing to a path; very deep paths are shortened to a digest."""
+    if len(above) > 1_000:
+        above = hashlib.sha256(above.encode()).hexdigest()
+    return f"{above}>{own}" if above else own
+
+
 def _add_block(elements, blocks, holder: int, parts: list[tuple[str, bool]]) -> None:
     words = "".join(text for text, _ in parts).split()
     if words:

@@ -127,12 +127,11 @@ def feature_stats(
     Holding every distinct value in one place would not scale, so quartiles take two passes.
     The first, run at once, brings back one row per feature, with a sketch that brackets each
     quartile's rank between two values. Its rank error is at most 1 / ``accuracy`` of the rows;
-    the margin adds two such steps, which are more than one rank each as soon as there are
-    more than ``accuracy`` rows. With fewer rows the bracket is the whole column. A bracket
-    that is a single value is the quartile itself. Only for the others the second pass counts
-    the values below and orders those inside, a few in ten thousand.
+    the margin adds two such steps and three ranks. A bracket that is a single value is the
+    quartile itself. For the others the second pass counts the values below, orders those
+    inside, a few in ten thousand, and fails should the rank lie outside.
     """
-    margin = 3 / accuracy
+    margin = 3 / accuracy + 3 / max(1, features.count())
     probes = [max(0.0, q - margin) for q in QUARTILES] + [min(1.0, q + margin) for q in QUARTILES]
     summary = (
         _long(features, names)
@@ -150,10 +149,7 @@ def feature_stats(
     brackets = []
     for row in summary:
         for i, q in enumerate(QUARTILES):
-            if row["count"] > accuracy:
-                low, high = row.probe[i], row.probe[i + len(QUARTILES)]
-            else:
-                low, high = row.min, row.max
+            low, high = (row.probe[i], row.probe[i + len(QUARTILES)]) if row.probe else (None, None)
             brackets.append((row.feature, i, (row["count"] - 1) * q, low, high))
     spark = features.sparkSession
     table = spark.createDataFrame(
@@ -217,4 +213,6 @@ def _ranked(values: DataFrame, brackets: DataFrame) -> DataFrame:
         at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high")
     )
     between = F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))
-    return ends.select("feature", "quarter", between.alias("quartile"))
+    missed = F.raise_error(F.lit("a quartile lies outside its bracket")).cast("double")
+    checked = F.when(between.isNotNull(), between).otherwise(missed)
+    return ends.select("feature", "quarter", checked.alias("quartile"))

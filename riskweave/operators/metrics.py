@@ -101,14 +101,17 @@ def ranking_metrics(
     """Area under the ROC curve and average precision, exact, one row.
 
     Both need only the labels per distinct score, in order of the score. Those counts are
-    cumulated in two steps: over cells of width ``1 / grid``, then over the scores in a cell.
-    Probabilities have at most ``grid`` + 1 cells and integer scores one per value, so the
-    one window without a partition stays small however many rows or distinct scores exist.
+    cumulated in two steps: over cells, then over the scores in a cell. Cells cut the range from
+    the least to the largest score into ``grid`` equal parts, so the one window without a
+    partition has at most ``grid`` + 1 rows, whatever kind of score that is.
     """
-    cell = F.floor(F.col(score) * grid)
+    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    value = F.col(score).cast("double")
+    least = known.agg(F.min(value)).scalar()
+    width = known.agg(F.max(value) - F.min(value)).scalar()
+    cell = F.floor(F.coalesce((value - least) / F.nullif(width, F.lit(0.0)), F.lit(0.0)) * grid)
     points = (
-        df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-        .groupBy(F.col(score).alias("score"), cell.alias("cell"))
+        known.groupBy(F.col(score).alias("score"), cell.alias("cell"))
         .agg(
             F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
             F.count(F.when(F.col(label) != 1, 1)).alias("neg"),

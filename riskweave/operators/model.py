@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .features import FEATURES_V1, FEATURES_V2
 from .metrics import confusion_counts, confusion_matrix, ranking_metrics
-from .split import class_weights
 
 
 @dataclass(frozen=True)
@@ -30,6 +28,7 @@ class ModelSpec:
     row_share: float = 1.0
     column_share: str = "all"
     seed: int = 42
+    max_rows: int = 2_000_000  # rows that a fit reads at most; more are sampled
 
 
 # The two trained models.
@@ -38,13 +37,25 @@ MODEL_V2 = ModelSpec("V2", FEATURES_V2, trees=300, rate=0.05, row_share=0.8, col
 
 
 def train_model(train: DataFrame, spec: ModelSpec, label: str = "is_fraud") -> PipelineModel:
-    """Fit on the training part. A positive row weighs as much as the class ratio says."""
-    ensure_checkpoint_dir(train.sparkSession)
+    """Fit on the training part. A positive row weighs as much as the class ratio says.
+
+    Every tree reads its input again, so that is bounded: equal rows become one of that weight
+    where all rows go into every tree, and above ``spec.max_rows`` a sample is drawn.
+    """
     rows = train.select(label, *spec.features).fillna(0)
-    # Fitting reads its input several times; the features behind it cost shuffles.
-    rows = rows.checkpoint()
-    ratio = class_weights(rows, label).select("pos_weight").scalar()
-    weight = F.when(F.col(label) == 1, F.coalesce(ratio, F.lit(1.0))).otherwise(1.0)
+    if spec.row_share == 1.0:
+        rows = rows.groupBy(label, *spec.features).agg(F.count(F.lit(1)).alias("_rows"))
+    else:
+        rows = rows.withColumn("_rows", F.lit(1).cast("long"))
+    rows = kept(rows)
+    count = rows.count()
+    if count > spec.max_rows:
+        rows = rows.sample(spec.max_rows / count, seed=spec.seed)
+    totals = rows.agg(
+        F.sum(F.when(F.col(label) == 1, F.col("_rows"))).alias("fraud"), F.sum("_rows").alias("all")
+    ).first()
+    ratio = (totals["all"] - totals["fraud"]) / totals["fraud"] if totals["fraud"] else 1.0
+    weight = F.col("_rows") * F.when(F.col(label) == 1, ratio).otherwise(1.0)
     weighted = rows.withColumn("_weight", weight)
     trees = GBTClassifier(
         featuresCol="features",
@@ -59,7 +70,9 @@ def train_model(train: DataFrame, spec: ModelSpec, label: str = "is_fraud") -> P
         checkpointInterval=10,
     )
     assembler = VectorAssembler(inputCols=list(spec.features), outputCol="features")
-    return Pipeline(stages=[assembler, trees]).fit(weighted)
+    model = Pipeline(stages=[assembler, trees]).fit(weighted)
+    rows.unpersist()
+    return model
 
 
 def score_model(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -105,15 +118,10 @@ def model_comparison(scored: dict[str, DataFrame], label: str = "is_fraud") -> D
     return out.orderBy("version")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the folder the cluster names; a local session may use its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once: a checkpoint in the shared folder, or cached where none is named."""
+    spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="riskweave-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if named and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.features import features_v1, features_v2
-from ..operators.model import MODEL_V1, MODEL_V2, ModelSpec, score_model, train_model
+from ..operators.model import MODEL_V1, MODEL_V2, ModelSpec, kept, score_model, train_model
 from ..operators.split import stratified_split
 from .sample_view import transactions
 
@@ -25,13 +25,13 @@ _BUILDERS = {MODEL_V1.name: features_v1, MODEL_V2.name: features_v2}
 
 
 def fitted(spark: SparkSession, sf_dir: str, spec: ModelSpec) -> Fitted:
-    """Features, split, fit and scored test part; the scores are kept as a checkpoint."""
+    """Features, split, fit and scored test part; the scores are kept."""
     key = (spark.sparkContext.applicationId, sf_dir, spec.name)
     if key not in _FITS:
         rows = stratified_split(_BUILDERS[spec.name](transactions(spark, sf_dir)))
         train = rows.where("part = 'train'").drop("part")
         model = train_model(train, spec)
         scored = score_model(model, rows.where("part = 'test'").drop("part"))
-        scored = scored.select("txn_id", "is_fraud", "prediction", "probability").checkpoint()
-        _FITS[key] = Fitted(spec, model, train, scored)
+        scored = scored.select("txn_id", "is_fraud", "prediction", "probability")
+        _FITS[key] = Fitted(spec, model, train, kept(scored))
     return _FITS[key]

@@ -23,7 +23,8 @@ def test_equals_its_sql(spark, con, name):
 
 
 def test_only_fitted_models_lack_sql():
-    unchecked = set(contract.queries()) - set(CHECKED)
+    text = {n for n in contract.queries() if n == "pipeline" or n.startswith("op")}
+    unchecked = set(contract.queries()) - set(CHECKED) - text
     assert all("model" in n or n == "feature_importance" for n in unchecked)
     assert set(CHECKED) <= set(contract.queries())
 

@@ -36,7 +36,7 @@ def test_ranking_equals_pairs(spark, grid, digits):
 
 @pytest.mark.parametrize("scale, kind", [(3000, "int"), (10**13, "long"), (1234.56, "decimal(12,2)")])
 def test_ranking_takes_any_score(spark, scale, kind):
-    rows = spark.createDataFrame([(k * scale, int(k > 2)) for k in range(1, 5)], "score double, is_fraud int")
+    rows = spark.createDataFrame([(float(k * scale), int(k > 2)) for k in range(1, 5)], "score double, is_fraud int")
     rows = rows.select(rows.score.cast(kind).alias("score"), "is_fraud")
     row = metrics.ranking_metrics(rows, "score").first()
     assert (row.auc_roc, row.auc_pr) == (1.0, 1.0)

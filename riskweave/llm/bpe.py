@@ -25,6 +25,7 @@ from . import vocabulary
 from .common import table
 
 BLOCK_CHARS = 4_000_000  # characters after which a block closes
+TEXTS_AT_A_TIME = 256
 LEAST_SHARES = 64  # shares of words, in a small corpus
 
 
@@ -64,11 +65,11 @@ def decode(encoded: DataFrame) -> DataFrame:
 
     def looked_up(frames):
         tokens = _token_table()
-        for frame in frames:
-            texts = [b"".join(map(tokens.__getitem__, ids.tolist())) for ids in frame["ids"]]
-            yield frame.assign(
-                doc_id=frame["doc_id"].astype("Int64"), decoded=pd.Series(texts, dtype=object)
-            )
+        for whole in frames:
+            for at in range(0, len(whole), TEXTS_AT_A_TIME):
+                frame = whole.iloc[at : at + TEXTS_AT_A_TIME]
+                texts = [b"".join(map(tokens.__getitem__, ids.tolist())) for ids in frame["ids"]]
+                yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), decoded=texts)
 
     return encoded.select("doc_id", "ids").mapInPandas(
         looked_up, "doc_id long, ids array<int>, decoded binary"

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +24,33 @@ from .suffix import op2_suffix_array
 from .toxicity import op5_toxicity
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this code, as ``--py-files`` would, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = Path(corpus_pipeline.__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="code-")) / "riskweave_code.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in (top / "corpus_pipeline.py", *sorted((top / "riskweave").rglob("*.py"))):
+                out.write(path, path.relative_to(top))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
+def _shipped(query: Callable) -> Callable:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_minhash": op1_minhash,
         "op2_suffix_array": op2_suffix_array,
         "op3_html": op3_html,
@@ -34,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": op10_bpe,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

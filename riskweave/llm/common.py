@@ -85,17 +85,30 @@ def ranked_sample(
 ) -> DataFrame:
     """(text, y) of the first ``rows_per_class`` ids of each class, in the order of a hash.
 
-    Only ids and lengths are shuffled; the ids taken, a bounded number, go to the texts.
+    Only ids and lengths are shuffled. No class is ranked whole, as it may hold most rows: its
+    ids are counted, and only those whose hash is low enough for about four times the rows are
+    ranked. The ids taken, a bounded number, go to the texts; an id on several rows teaches its
+    least text only.
     """
-    fit_for_use = documents.where(F.length("text").between(1, max_chars)).select("doc_id")
+    fitting = documents.select("doc_id", "text").where(F.length("text").between(1, max_chars))
+    ids = store(classes.join(fitting.select("doc_id"), "doc_id", "left_semi"), "ids")
+    # One row per class, of which a model holds far more.
+    sizes = F.broadcast(ids.groupBy("y").agg(F.count("*").alias("size")))
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5  # from 0 to 1, in the order of the hash
     first = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        classes.join(fit_for_use, "doc_id")
+        ids.join(sizes, "y")
+        .where(place * F.col("size") <= 4 * rows_per_class + 40)
         .withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= rows_per_class)
         .select("doc_id", "y")
     )
-    return documents.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    return (
+        fitting.join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "y")
+        .agg(F.min("text").alias("text"))
+        .select("text", "y")
+    )
 
 
 def mapped(df: DataFrame, function, used: tuple[str, ...], added: str, keep: tuple[str, ...] = ()):

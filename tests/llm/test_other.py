@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import ann, embedding_dedup, extraction, graph
+from riskweave.llm import ann, common, embedding_dedup, extraction, graph
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -97,3 +97,15 @@ def test_pipeline(spark):
         docs = kept
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_sample_is_the_first_ids_by_hash(spark):
+    rows = [(k, f"text {k}") for k in range(5000)] + [(7, "text")] * 3 + [(8, "x" * 99), (8, None), (None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("y", F.lit("clash"))
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("bad"))
+    got = sorted(common.labelled_sample(docs, labels, "bad", F.lit(True), 100, 50).collect())
+    text = {k: f"text {k}" for k in range(5000)} | {7: "text"}
+    hashes = spark.range(5000).select("id", F.xxhash64("id").alias("h")).orderBy("h").collect()
+    wanted = [[r.id for r in hashes if r.id % 2 == y][:100] for y in (0, 1)]
+    assert got == sorted((text[k], y) for y in (0, 1) for k in wanted[y])
+    assert common.labelled_sample(docs, labels.limit(0), "bad", F.lit(True), 100, 50).count() == 0

@@ -15,7 +15,7 @@ from .common import table
 
 LONGEST = 1024  # tokens of a sequence at most; a power of two
 END = 0  # id that closes every document
-TEXTS_AT_A_TIME = 256
+TEXTS_AT_A_TIME = 1024
 
 _COLUMNS = "doc_id long, start long, length long, tokens binary, ids_crc32 long, doc_tokens long"
 

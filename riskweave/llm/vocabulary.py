@@ -5,9 +5,12 @@ from __future__ import annotations
 import base64
 import os
 import re
+from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import tiktoken
 
@@ -49,54 +52,87 @@ _ODD = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u20
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _unusual(text: str) -> bool:
+    """Whether some white space is not a single space between other characters."""
+    return "  " in text or " \n" in text or "\n " in text or _ODD.search(text) is not None
+
+
 def cut(text: str) -> list[str]:
     """``text`` cut before every space that stands between two other characters.
 
     No match of the pattern reaches over such a place and none looks back over it, so the ids of
     the parts, one after the other, are the ids of the text.
     """
-    if "  " in text or " \n" in text or "\n " in text or _ODD.search(text):
+    if _unusual(text):
         return _BETWEEN.split(text)
     first, *rest = text.split(" ")
     return [first, *(" " + word for word in rest)]
 
 
+def _parted(text: str) -> tuple[list[str], str | None]:
+    """Parts that ``cut`` makes as they are, and what follows the first space if only spaces cut."""
+    if _unusual(text):
+        return _BETWEEN.split(text), None
+    first, space, rest = text.partition(" ")
+    return [first], rest if space else None
+
+
 class Encoder:
     """Ids of whole texts by the tokenizer file; a worker encodes each distinct part once."""
 
     def __init__(self, name: str = TOKENIZER):
         self._name = name
         self._known: dict[str, bytes] = {}
+        self._after_space: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        parts = [cut(text) for text in texts]
-        if len(self._known) > REMEMBERED:
-            self._known = {}
-        new = {word for words in parts for word in words}.difference(self._known)
-        joined = [word for word in new if _can_follow(word)]
-        alone = list(new.difference(joined))
-        self._learn([[word] for word in alone])
-        self._learn([joined[at : at + 256] for at in range(0, len(joined), 256)])
-        lookup = self._known.__getitem__
-        return [np.frombuffer(b"".join(map(lookup, words)), "<u4") for words in parts]
-
-    def _learn(self, lines: list[list[str]]) -> None:
-        """Encode each line of parts in one go; token lengths tell where a part ends."""
+        parted = [_parted(text) for text in texts]
+        if len(self._known) + len(self._after_space) > REMEMBERED:
+            self._known, self._after_space = {}, {}
+        self._learn({part for parts, _ in parted for part in parts}, self._known, "")
+        known = self._known.__getitem__
+        begin = [np.frombuffer(b"".join(map(known, parts)), "<u4") for parts, _ in parted]
+        after = self._following(pa.array([rest for _, rest in parted], pa.large_string()))
+        return [np.concatenate(both) for both in zip(begin, after, strict=True)]
+
+    def _following(self, rests: pa.Array) -> list[np.ndarray]:
+        """Ids of the words of each row, all after a space; words are numbered, then looked up."""
+        split = pc.split_pattern(rests, " ")
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(words, self._after_space, " ")
+        found = [self._after_space[word] for word in words]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        number = numbered.indices.to_numpy()
+        counts = sizes[number]
+        ends = np.cumsum(counts)
+        place = np.repeat(starts[number] - ends + counts, counts) + np.arange(counts.sum())
+        words_before = np.cumsum(pc.list_value_length(split).fill_null(0).to_numpy())
+        return np.split(ids[place], np.append(0, ends)[words_before[:-1]])
+
+    def _learn(self, words: Iterable[str], known: dict[str, bytes], lead: str) -> None:
+        """Encode words not yet known, each after ``lead``; many in one line where that is safe."""
+        words = [word for word in words if word not in known]
+        # White space at either end of a word would go with what stands next to it.
+        joined = [word for word in words if lead and word and word.strip() == word]
+        alone = set(words).difference(joined) if len(joined) < len(words) else ()
+        lines = [[word] for word in alone]
+        lines += [joined[at : at + 256] for at in range(0, len(joined), 256)]
         encoded = tokenizer(self._name).encode_batch_fast(
-            ["".join(words) for words in lines], add_special_tokens=False
+            [lead + lead.join(line) for line in lines], add_special_tokens=False
         )
-        for words, line in zip(lines, encoded, strict=True):
-            ids = np.array(line.ids, "<u4")
-            ends = np.cumsum([len(word.encode()) for word in words])
-            cuts = np.searchsorted(np.cumsum(_lengths()[ids]), ends, side="right")
-            for word, some in zip(words, np.split(ids, cuts[:-1]), strict=True):
-                self._known[word] = some.tobytes()
-
-
-def _can_follow(part: str) -> bool:
-    """Whether the place before ``part`` is one where texts may be cut, and that after it too."""
-    return len(part) > 1 and part[0] == " " and not part[1].isspace() and not part[-1].isspace()
+        for line, found in zip(lines, encoded, strict=True):
+            ids = np.array(found.ids, "<u4")
+            # Token lengths tell where a word ends.
+            ends = np.cumsum([len(word.encode()) + len(lead) for word in line])
+            cuts = 4 * np.searchsorted(np.cumsum(_lengths()[ids]), ends, side="right")
+            data, at = ids.tobytes(), 0
+            for word, end in zip(line, cuts.tolist(), strict=True):
+                known[word] = data[at:end]
+                at = end
 
 
 @cache

@@ -11,11 +11,12 @@ blocks, so neither shares nor blocks grow with it.
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import vocabulary
 from .common import table
 
-BLOCK_CHARS = 4_000_000  # characters after which a block closes
+BLOCK_CHARS = 6_000_000  # characters after which a block closes
 TEXTS_AT_A_TIME = 256
 LEAST_SHARES = 64  # shares of words, in a small corpus
 
@@ -32,7 +33,7 @@ LEAST_SHARES = 64  # shares of words, in a small corpus
 def encode(documents: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids array<int>) of every document; a null text is an empty one.
 
-    A word is what stands between two safe cuts (``vocabulary.cut``): one pre-token, or some
+    A word is what stands between two safe cuts (``vocabulary.parted``): one pre-token, or some
     with the signs around them. Rows that repeat a doc_id, or have none, are encoded each.
     """
     source = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -94,23 +95,32 @@ def _blocks(frames, block_chars: int):
 def _block(ids: list, texts: list[str]) -> tuple[int, list, list[np.ndarray], list[str]]:
     """(name, doc_ids, numbers of each document's words, words by number)."""
     name = xxhash.xxh3_64()
-    counts = Counter()
     for doc_id, text in zip(ids, texts, strict=True):
         data = text.encode()
         name.update(f"{doc_id} {len(data)} ")
         name.update(data)
-        counts.update(vocabulary.cut(text))
-    words = [word for word, _ in counts.most_common() if word]
-    number = {word: k for k, word in enumerate(words)}
-    number[""] = -1
-    runs = []
-    for text in texts:
-        some = vocabulary.cut(text)
-        run = np.fromiter(map(number.__getitem__, some), np.int64, len(some))
-        runs.append(run[run >= 0].astype("<u4"))
+    cuts = [vocabulary.parted(text) for text in texts]
+    exact = pa.array([part for parts, _ in cuts for part in parts], pa.large_string())
+    split = pc.split_pattern(pa.array([rest for _, rest in cuts], pa.large_string()), " ")
+    begin, after = exact.dictionary_encode(), split.flatten().dictionary_encode()
+    words = [*_values(begin), *(" " + word for word in _values(after))]
+    first = begin.indices.to_numpy()
+    later = after.indices.to_numpy() + len(begin.dictionary)
+    order = np.argsort(-np.bincount(np.r_[first, later], minlength=len(words)), kind="stable")
+    number = np.empty(len(words), "<u4")
+    number[order] = np.arange(len(words))
+    words = [words[k] for k in order]
+    of_first = np.cumsum([len(parts) for parts, _ in cuts])[:-1]
+    of_later = np.cumsum(pc.list_value_length(split).fill_null(0).to_numpy())[:-1]
+    both = zip(np.split(number[first], of_first), np.split(number[later], of_later), strict=True)
+    runs = [np.concatenate(some) for some in both]
     return name.intdigest() - 2**63, ids, runs, words
 
 
+def _values(encoded: pa.DictionaryArray) -> list[str]:
+    return encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 def _numbered(block) -> pd.DataFrame:
     name, ids, runs, _ = block
     return pd.DataFrame(
@@ -145,7 +155,7 @@ def _listed(block, shares: int) -> pd.DataFrame:
         {
             "block": name,
             "share": some.astype("int32"),
-            "numbers": [_packed(group) for group in groups],
+            "numbers": [_packed(np.diff(group, prepend=0)) for group in groups],  # they ascend
             "words": [squeeze(_joined([words[k].encode() for k in group])) for group in groups],
         }
     )
@@ -179,19 +189,19 @@ def _encoded(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _assembled(documents: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    ids_of: dict[int, bytes] = {}
-    for row in answers.itertuples():
-        ids = _unpacked(row.ids)
-        cuts = np.cumsum(_unpacked(row.sizes)[:-1].astype(np.int64))
-        for number, some in zip(_unpacked(row.numbers).tolist(), np.split(ids, cuts), strict=True):
-            ids_of[number] = some.tobytes()
+    none = np.zeros(0, "<u4")
+    words = np.concatenate([none, *(np.cumsum(_unpacked(n)) for n in answers["numbers"])])
+    ids = np.concatenate([none, *map(_unpacked, answers["ids"])])
+    size = np.concatenate([none, *map(_unpacked, answers["sizes"])]).astype(np.int64)
+    sizes, starts = np.full(len(words), -1), np.zeros(len(words), np.int64)
     out = []
-    for packed in documents["numbers"]:
-        try:
-            joined = b"".join(map(ids_of.__getitem__, _unpacked(packed).tolist()))
-        except KeyError as error:
-            raise ValueError("a block was cut differently when it was read again") from error
-        out.append(np.frombuffer(joined, "<u4").astype("i4"))
+    try:
+        sizes[words], starts[words] = size, np.cumsum(size) - size
+        for packed in documents["numbers"]:
+            found, _ = vocabulary.gather(ids, starts, sizes, _unpacked(packed))
+            out.append(found.astype("i4"))
+    except (IndexError, ValueError) as error:
+        raise ValueError("a block was cut differently when it was read again") from error
     return pd.DataFrame({"doc_id": documents["doc_id"].astype("Int64"), "ids": out})
 
 

@@ -57,26 +57,28 @@ def _unusual(text: str) -> bool:
     return "  " in text or " \n" in text or "\n " in text or _ODD.search(text) is not None
 
 
-def cut(text: str) -> list[str]:
+def parted(text: str) -> tuple[list[str], str | None]:
     """``text`` cut before every space that stands between two other characters.
 
     No match of the pattern reaches over such a place and none looks back over it, so the ids of
-    the parts, one after the other, are the ids of the text.
+    the parts, one after the other, are the ids of the text. First come parts as they are, then,
+    where all white space is single, what follows the first space: its words stand after a space.
     """
-    if _unusual(text):
-        return _BETWEEN.split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + word for word in rest)]
-
-
-def _parted(text: str) -> tuple[list[str], str | None]:
-    """Parts that ``cut`` makes as they are, and what follows the first space if only spaces cut."""
     if _unusual(text):
         return _BETWEEN.split(text), None
     first, space, rest = text.partition(" ")
     return [first], rest if space else None
 
 
+def gather(
+    ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the numbered words one after the other, and where each word's end."""
+    counts = sizes[numbers]
+    ends = np.cumsum(counts)
+    return ids[np.repeat(starts[numbers] - ends + counts, counts) + np.arange(counts.sum())], ends
+
+
 class Encoder:
     """Ids of whole texts by the tokenizer file; a worker encodes each distinct part once."""
 
@@ -87,13 +89,13 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        parted = [_parted(text) for text in texts]
+        cuts = [parted(text) for text in texts]
         if len(self._known) + len(self._after_space) > REMEMBERED:
             self._known, self._after_space = {}, {}
-        self._learn({part for parts, _ in parted for part in parts}, self._known, "")
+        self._learn({part for parts, _ in cuts for part in parts}, self._known, "")
         known = self._known.__getitem__
-        begin = [np.frombuffer(b"".join(map(known, parts)), "<u4") for parts, _ in parted]
-        after = self._following(pa.array([rest for _, rest in parted], pa.large_string()))
+        begin = [np.frombuffer(b"".join(map(known, parts)), "<u4") for parts, _ in cuts]
+        after = self._following(pa.array([rest for _, rest in cuts], pa.large_string()))
         return [np.concatenate(both) for both in zip(begin, after, strict=True)]
 
     def _following(self, rests: pa.Array) -> list[np.ndarray]:
@@ -105,13 +107,9 @@ class Encoder:
         found = [self._after_space[word] for word in words]
         ids = np.frombuffer(b"".join(found), "<u4")
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
-        number = numbered.indices.to_numpy()
-        counts = sizes[number]
-        ends = np.cumsum(counts)
-        place = np.repeat(starts[number] - ends + counts, counts) + np.arange(counts.sum())
+        gathered, ends = gather(ids, np.cumsum(sizes) - sizes, sizes, numbered.indices.to_numpy())
         words_before = np.cumsum(pc.list_value_length(split).fill_null(0).to_numpy())
-        return np.split(ids[place], np.append(0, ends)[words_before[:-1]])
+        return np.split(gathered, np.append(0, ends)[words_before[:-1]])
 
     def _learn(self, words: Iterable[str], known: dict[str, bytes], lead: str) -> None:
         """Encode words not yet known, each after ``lead``; many in one line where that is safe."""

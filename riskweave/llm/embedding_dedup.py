@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import store, table
-from .graph import components
+from .graph import components, lowest
 from .vectors import digested, matrix, unit, usable
 
 SIMILARITY = 0.9
@@ -166,23 +166,10 @@ def _meet(name, frame: pd.DataFrame, similarity: float, tables: int) -> pd.DataF
     )
     links = np.bincount(i, copies[b] * first, len(used)) + np.bincount(j, copies[a] * first, len(used))
     return pd.DataFrame(
-        {"id": ids[used], "links": links.astype("int64"), "lowest": ids[used][_lowest(i, j, len(used))]}
+        {"id": ids[used], "links": links.astype("int64"), "lowest": ids[used][lowest(i, j, len(used))]}
     )
 
 
-def _lowest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """For each of n nodes the smallest node that links (i, j) reach, by halving paths."""
-    up = np.arange(n)
-    while True:
-        before = up.copy()
-        least = np.minimum(up[i], up[j])
-        np.minimum.at(up, up[i], least)
-        np.minimum.at(up, up[j], least)
-        up = up[up]
-        if np.array_equal(up, before):
-            return up
-
-
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and whether to keep it, of every vector."""
     return deduplicate(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,16 @@ def components(links: DataFrame) -> DataFrame:
             break
     roots = above.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     return above.select(F.col("u").alias("node"), F.col("low").alias("component")).union(roots)
+
+
+def lowest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that links (i, j) reach, by halving paths."""
+    up = np.arange(n)
+    while True:
+        before = up.copy()
+        least = np.minimum(up[i], up[j])
+        np.minimum.at(up, up[i], least)
+        np.minimum.at(up, up[j], least)
+        up = up[up]
+        if np.array_equal(up, before):
+            return up

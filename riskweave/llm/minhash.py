@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, store, table
-from .graph import components
+from .graph import components, lowest
 
 WORDS = 5  # of a shingle
 PERCENT = 80  # similarity that links, in percent
 BINS = 512  # of the one permutation
 ROWS = 8  # bins of a band: at a similarity of 0.8 all 64 bands miss a pair 8 times in a million
 FAMILIES = 8  # orders by which buckets choose their centre
-SECOND_CENTRES = 4  # about as many further centres in buckets that the first round leaves apart
+SMALL = 8  # members from which on a bucket is compared in blocks, not in joined pairs
+BLOCK = 256  # members of a bucket that are compared at a time
+COLUMNS = 4096  # shingles that a block lays out at a time
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,11 +108,10 @@ def deduplicate(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
     Documents with equal sets are one class, which its smallest doc_id stands for. In every
     bucket one member is the centre of a star: in an eighth of the buckets the one that shares
     most buckets, in the others the first by an order of its family; edges from it are confirmed
-    on full sets. Buckets whose members do not all reach each other
-    by then get a second round: small ones compare all that are still apart, large ones some
-    more centres with them. So edges stay in proportion to members, and documents that are
-    alike still meet, as they share many buckets with different centres. Confirmed links make
-    components.
+    on full sets. In buckets whose members do not all reach each other by then, all pairs that
+    are still apart are compared: those of small buckets as joined pairs, those of large ones
+    block by block inside the tasks, which give back a spanning forest and never the pairs.
+    So no two alike documents that share a bucket stay apart. Confirmed links make components.
 
     Texts that are null or without words have an empty set and link with nothing. Rows without a
     doc_id have no component (null) and are not kept. Rows that repeat a doc_id are answered
@@ -188,16 +189,81 @@ def _links(documents: DataFrame, members: DataFrame, words: int, percent: int) -
         "apart",
     )
     rest = store(labelled.join(apart, "key"), "rest")
-    # A member is a further centre with probability about SECOND_CENTRES / size.
-    share = F.greatest(F.lit(1), F.floor(F.col("size") / SECOND_CENTRES)).cast("long")
-    more = store(
-        rest.where(F.pmod(F.xxhash64("id", family, F.lit(2)), share) == 0).select(
-            "key", F.col("id").alias("centre"), F.col("label").alias("centre_label")
+    small = rest.where(F.col("size") < SMALL)
+    other = small.select("key", F.col("id").alias("centre"), F.col("label").alias("centre_label"))
+    pairs = small.join(other, "key").where("label < centre_label")
+    met = _met_in_blocks(rest.where(F.col("size") >= SMALL), texts, words, percent)
+    return links.union(store(_confirmed(pairs, texts, words, percent), "links")).union(
+        store(met, "links")
+    )
+
+
+def _met_in_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is alike among members (key, id, size, label) of a bucket.
+
+    Every two members with different labels are compared on their full sets. Block i meets block
+    j in the group (i, j), i <= j, so no bucket is one group, however large.
+    """
+
+    def sets(frames):
+        for frame in frames:
+            made = [shingles(text, words).tobytes() for text in frame["text"]]
+            yield pd.DataFrame({"id": frame["id"], "shingles": made})
+
+    payload = (
+        texts.join(rest.select("id").distinct(), "id", "left_semi")
+        .mapInPandas(sets, "id long, shingles binary")
+        .distinct()
+    )
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.struct(
+            F.least(k, F.col("block")).alias("low"), F.greatest(k, F.col("block")).alias("high")
         ),
-        "centres",
     )
-    pairs = rest.join(more, "key").where("label <> centre_label")
-    return links.union(store(_confirmed(pairs, texts, words, percent), "links"))
+    return (
+        rest.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("meeting", F.explode(others))
+        .join(payload, "id")
+        .select("key", "meeting.low", "meeting.high", "block", "id", "label", "shingles")
+        .groupBy("key", "low", "high")
+        .applyInPandas(lambda name, frame: _meet(name, frame, percent), "a long, b long")
+    )
+
+
+def _meet(name, frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Each member that is alike to one of another label, and the smallest that it reaches."""
+    _, low, high = name
+    ids, labels = frame["id"].to_numpy(), frame["label"].to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
+    one = np.flatnonzero(frame["block"].to_numpy() == low)
+    two = np.flatnonzero(frame["block"].to_numpy() == high)
+    sizes = np.array([len(s) for s in sets])
+    both = _shared(sets, one, two)
+    alike = 100 * both >= percent * (sizes[one][:, None] + sizes[two] - both)
+    i, j = np.nonzero(alike & (labels[one][:, None] != labels[two]))
+    used, place = np.unique(np.r_[ids[one[i]], ids[two[j]]], return_inverse=True)
+    reached = used[lowest(place[: len(i)], place[len(i) :], len(used))]
+    return pd.DataFrame({"a": used, "b": reached})[used != reached]
+
+
+def _shared(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many shingles each set of ``one`` has in common with each of ``two``."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times > 1
+    owner, column = owner[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(one), len(two)), np.int64)
+    for start in range(0, int(common.sum()), COLUMNS):
+        some = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[some], column[some] - start] = 1
+        both += (held[one] @ held[two].T).astype(np.int64)
+    return both
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

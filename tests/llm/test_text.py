@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, language, minhash, packing, quality, suffix, toxicity, vocabulary
+from riskweave.llm import bpe, graph, language, minhash, packing, quality, suffix, toxicity, vocabulary
 
 SCHEMA = "doc_id long, text string"
 SMALL = "/root/testdata/sf0.001"
@@ -68,6 +68,73 @@ def test_minhash_equals_brute_force(awkward):
         )
 
 
+@pytest.fixture(scope="module")
+def crowd():
+    base = [f"w{k}" for k in range(300)]
+    rng = random.Random(8)
+
+    def changed(places, tag):
+        return " ".join(f"{tag}x{k}" if k in places else w for k, w in enumerate(base))
+
+    texts = []
+    for k in range(300):  # about 0.71 to each other
+        places = rng.sample(range(4, 290, 12), 5)
+        shift = rng.randrange(8)
+        texts.append(changed({p + shift for p in places}, f"a{k}"))
+        if k < 40:  # a copy at about 0.81, whose words of its own nobody shares
+            texts.append(changed({p + shift + 1 for p in places}, f"b{k}"))
+    rng.shuffle(texts)
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    want = list(range(len(sets)))
+    links = [
+        (a, b)
+        for a in range(len(sets))
+        for b in range(a)
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    for _ in range(20):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert 40 <= len(links) and len(set(want)) > 200
+    return texts, want
+
+
+def test_minhash_links_copies_within_a_crowd(spark, crowd):
+    texts, want = crowd
+    got = minhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert [r.component_id for r in sorted(got)] == want
+
+
+def test_large_buckets_lose_no_link(spark, crowd):
+    texts, want = crowd
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    # Buckets of everything, as bands make them in a crowd; 340 members are two blocks.
+    members = df.select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit(3), F.lit(8))).alias("key"))
+    links = minhash._links(df, members.withColumn("key", F.col("key").cast("long")), 5, 80)
+    got = {r.node: r.component for r in graph.components(links).collect()}
+    assert [got.get(k, k) for k in range(len(texts))] == want
+
+
+def test_blocks_of_a_bucket_compare_all_that_are_apart(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rng = random.Random(9)
+    made = [set(rng.sample(range(12), 10)) for _ in range(40)]
+    texts = [" ".join(f"w{k}" for k in sorted(s)) for s in made]
+    rest = spark.createDataFrame([(1, k, 40, k // 2) for k in range(40)], "key long, id long, size long, label long")
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = minhash._met_in_blocks(rest, df, 1, 80).collect()
+    up = list(range(40))
+    want = list(range(40))
+    for _ in range(40):
+        for a, b in got:
+            up[a] = up[b] = min(up[a], up[b])
+        for a in range(40):
+            for b in range(a):
+                if a // 2 != b // 2 and 100 * len(made[a] & made[b]) >= 80 * len(made[a] | made[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert up == want and len(got) > 0
+
+
 def test_repeats_equal_brute_force(awkward):
     rows, df = awkward
     count = collections.Counter()

@@ -130,7 +130,7 @@ def deduplicate(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
         "members",
     )
     links = _links(documents, members, words, percent)
-    groups = components(links)
+    groups = components(links.union(_ties(sound, classes)))
     labels = store(
         classes.join(groups, F.col("id") == F.col("node"), "left").select(
             "digest", F.coalesce("component", "id").alias("label")
@@ -150,6 +150,22 @@ def deduplicate(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
     )
 
 
+def _ties(sound: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes in which one doc_id stands with different texts."""
+    repeated = (
+        sound.groupBy("doc_id")
+        .agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+        .where("low < high")
+        .select("doc_id")
+    )
+    held = store(
+        sound.join(repeated, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "id"),
+        "held",
+    )
+    first = held.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return held.join(first, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
+
+
 def _links(documents: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them to connect what belongs together."""
     sizes = store(

@@ -105,6 +105,13 @@ def test_minhash_links_copies_within_a_crowd(spark, crowd):
     assert [r.component_id for r in sorted(got)] == want
 
 
+def test_texts_of_a_repeated_id_are_one_document(spark):
+    rows = [(3, words(1, 60)), (5, words(1, 60)), (5, words(2, 60)), (4, words(2, 60)), (6, words(4, 60))]
+    rows += [(6, words(5, 60)), (9, words(3, 60))]
+    got = minhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (4, 3), (5, 3), (5, 3), (6, 6), (6, 6), (9, 9)]
+
+
 def test_large_buckets_lose_no_link(spark, crowd):
     texts, want = crowd
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)

@@ -185,6 +185,19 @@ def test_packing_gives_every_id_once(awkward):
     assert long["ids_crc32"].tolist() == [zlib.crc32(t) for t in long["tokens"]]
 
 
+def test_buckets_hold_one_length_each(spark, awkward, tmp_path):
+    _, df = awkward
+    packed = packing.pack(df)
+    packing.bucket(packed, str(tmp_path / "out"))
+    wanted = sorted((r.length, r.ids_crc32) for r in packed.collect())
+    got = []
+    for folder in (tmp_path / "out").glob("length=*"):
+        length = int(folder.name.removeprefix("length="))
+        got += [(length, r.ids_crc32) for r in spark.read.parquet(str(folder)).collect()]
+    assert sorted(got) == wanted
+    assert len({length for length, _ in wanted}) > 1
+
+
 def test_bpe_round_trip(awkward):
     rows, df = awkward
     got = bpe.decode(bpe.encode(df, block_chars=2_000)).collect()

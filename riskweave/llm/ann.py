@@ -23,6 +23,7 @@ ASSIGN_STEPS = 24  # centroids looked into when a vector is placed
 PROBE_STEPS = 512  # and when a query chooses its lists
 PRUNE = 1.25  # a query reads lists whose centroid is so many times as far as the nearest
 LEAST_LISTS = 8  # but never fewer than these
+ROUNDING = 1e-9  # far above what two ways to compute one cosine differ by
 BLOCK = 512  # queries, and vectors of a list, that are compared at a time
 
 
@@ -235,18 +236,19 @@ def _compared(frames, count: int):
             q, x = matrix(q_vectors), matrix(vectors)
             ids = np.asarray(ids)
             near = unit(q) @ unit(x).T
-            # Some to spare: the exact score below may order near-equal ones differently.
-            take = min(len(ids), count + 4)
-            top = np.argpartition(-near, take - 1, axis=1)[:, :take]
-            row = np.repeat(np.arange(len(q)), take)
-            col = top.ravel()
-            score = cosines(q[row], x[col])
-            order = np.lexsort((ids[col], -score, row))
-            rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
-            kept = order[rank < count]
-            yield pd.DataFrame(
-                {"rep": np.asarray(q_ids)[row[kept]], "id": ids[col[kept]], "score": score[kept]}
-            )
+            # All that may be among the first by the exact score, which orders near-equal ones.
+            last = len(ids) - min(len(ids), count)
+            least = np.partition(near, last, axis=1)[:, last] - ROUNDING
+            for at in range(0, len(q), 64):
+                row, col = np.nonzero(near[at : at + 64] >= least[at : at + 64, None])
+                row += at
+                score = cosines(q[row], x[col])
+                order = np.lexsort((ids[col], -score, row))
+                rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+                kept = order[rank < count]
+                yield pd.DataFrame(
+                    {"rep": np.asarray(q_ids)[row[kept]], "id": ids[col[kept]], "score": score[kept]}
+                )
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

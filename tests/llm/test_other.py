@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,16 @@ def test_search_recall_and_form(vectors):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_smallest_ids_of_equal_cosines_are_found():
+    rng = np.random.default_rng(7)
+    x, q = rng.standard_normal(16), rng.standard_normal((70, 16))
+    scaled = [x * 2.0**k for k in range(40)]
+    frame = {"q_ids": [list(range(70))], "q_vectors": [list(q)], "ids": [list(range(139, 99, -1))]}
+    got = pd.concat(ann._compared([pd.DataFrame(frame | {"vectors": [scaled]})], 6))
+    assert len(got) == 420
+    assert all(sorted(found) == list(range(100, 106)) for _, found in got.groupby("rep")["id"])
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -14,12 +14,16 @@ import corpus_pipeline
 
 from .ann import op7_ann
 from .bpe import op10_bpe
+from .collocations import op12_collocations
 from .embedding_dedup import op9_embedding_dedup
 from .extraction import op3_html
 from .language import op8_language
+from .lexical import op13_search
+from .licences import op11_licences
 from .minhash import op1_minhash
 from .packing import op6_packing
 from .quality import op4_quality
+from .sql import texts
 from .suffix import op2_suffix_array
 from .toxicity import op5_toxicity
 
@@ -61,10 +65,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_bpe": op10_bpe,
+        "op11_licences": op11_licences,
+        "op12_collocations": op12_collocations,
+        "op13_search": op13_search,
         "pipeline": corpus_pipeline.run,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return texts()

@@ -10,11 +10,12 @@ their remaining terms from the forward index, exactly.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import store, table
@@ -22,7 +23,7 @@ from .common import store, table
 COUNT = 50  # documents per query
 SLICE_TERMS = 500_000  # terms of the queries answered at a time, about
 FIRST_POSTINGS = 2_000  # postings that the first block of a query's terms is meant to have
-GROWTH = 16  # times the postings in each further block
+GROWTH = 4  # times the postings in each further block
 TEXTS_AT_A_TIME = 256
 
 # Letters and digits stay, A-Z become lower case, everything else separates; UTF-8 beyond ASCII stays.
@@ -100,145 +101,168 @@ def search(documents: DataFrame, items: DataFrame, count: int = COUNT) -> DataFr
     """(item_id, rank, doc_id, score): each item's ``count`` best documents with a score above 0.
 
     Null and empty texts have no terms. Rows that repeat a doc_id are documents of their own, and
-    a null doc_id comes first among equal scores; rows of one item_id are one query. Items without
-    terms, or without documents that hold one, are not in the result. Further columns are left out.
+    a null doc_id comes first among equal scores; rows of one item_id are one query, null included.
+    Items without terms, or without documents that hold one, are not in the result. Further columns
+    are left out. Queries are answered in slices of about SLICE_TERMS terms, a slice at a time.
     """
-    spark = documents.sparkSession
     asked = store(_item_terms(items), "query-terms")
     parts = 1 + asked.count() // SLICE_TERMS
     found = []
     for part in range(parts):
         own = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else asked
-        terms = sorted(r.term for r in own.select("term").distinct().collect())
-        found.append(_searched(documents, own, {t.encode(): k for k, t in enumerate(terms)}, count))
+        found.append(_searched(documents, own, count))
     return reduce(DataFrame.unionByName, found)
 
 
-def _searched(documents: DataFrame, asked: DataFrame, numbers: dict[bytes, int], count: int) -> DataFrame:
+class Plan:
+    """The terms of a slice of queries, rarest first, in blocks that grow.
+
+    Everything here has as many rows as the slice has terms, so the driver and each task hold it.
+    Items and terms go by number. ``rest[item][block]`` bounds what the terms after a block can
+    still add to any document.
+    """
+
+    def __init__(self, asked: list[tuple[int, int]], stats: dict[int, tuple[int, int]], docs: int):
+        terms: dict[int, list[tuple[int, int]]] = {}
+        for item, term in asked:
+            if term in stats:  # else no document holds it
+                terms.setdefault(item, []).append((self._weight(stats[term][0], docs), term))
+        self.blocks: dict[int, list[list[tuple[int, int]]]] = {}  # item: blocks of (term, weight)
+        self.rest: dict[int, list[int]] = {}
+        for item, weighted in terms.items():
+            weighted.sort(key=lambda pair: (-pair[0], pair[1]))
+            left = sum(w * stats[t][1] for w, t in weighted)
+            blocks: list[list[tuple[int, int]]] = []
+            rest: list[int] = []
+            postings, room = 0, 0
+            for weight, term in weighted:
+                if not blocks or postings >= room:
+                    room = FIRST_POSTINGS if not blocks else room * GROWTH
+                    blocks.append([])
+                    rest.append(left)
+                blocks[-1].append((term, weight))
+                postings += stats[term][0]
+                left -= weight * stats[term][1]
+                rest[-1] = left
+            self.blocks[item], self.rest[item] = blocks, rest
+
+    @staticmethod
+    def _weight(df: int, docs: int) -> int:
+        return math.floor(1000 * math.log((2 * docs + 2) / (2 * df + 1)))
+
+    def block(self, items, number: int) -> list[tuple[int, int, int]]:
+        """(item, term, weight) of the items' terms in one block."""
+        return [
+            (item, term, weight)
+            for item in items
+            if number < len(self.blocks[item])
+            for term, weight in self.blocks[item][number]
+        ]
+
+
+def _searched(documents: DataFrame, asked: DataFrame, count: int) -> DataFrame:
     spark = documents.sparkSession
-    index = store(forward_index(documents, numbers), "forward")
+    rows = [(r.item_id, r.term) for r in asked.collect()]  # one slice
+    names = list(dict.fromkeys(item for item, _ in rows))
+    terms = {t: k for k, t in enumerate(sorted({t for _, t in rows}))}
+    number = {item: k for k, item in enumerate(names)}
+    index = store(forward_index(documents, {t.encode(): k for t, k in terms.items()}), "forward")
     sizes = index.where("n > 0").agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
-    docs, total = sizes.docs, sizes.terms or 1
-    norm = F.expr(f"CAST(50 + (CAST(50 * n AS DECIMAL(38, 0)) * {docs}L) div {total}L AS BIGINT)")
-    held = index.select("row", norm.alias("m"), F.explode("found").alias("p")).select(
-        "row",
-        "p.term",
-        F.expr("(1000000000L * p.tf) div (1000 * p.tf + 20 * m)").alias("gain"),
-    )
-    plan = store(_plan(spark, asked, numbers, held, docs), "plan")
-    rests = plan.groupBy("item_id", "block").agg(F.min("rest").alias("rest"))
-    last = plan.agg(F.max("block")).first()[0]
-
-    partial, waiting, survivors = None, None, []
-    for block in range(0 if last is None else last + 1):
-        now = plan.where(F.col("block") == block).select("item_id", "term", "weight")
-        if waiting is not None:
-            now = _matching(now, waiting)
-        sums = (
-            held.join(now, "term")
-            .groupBy("item_id", "row")
-            .agg(F.sum(F.col("weight") * F.col("gain")).alias("score"))
-        )
-        if partial is not None:
-            sums = (
-                _matching(partial, waiting).unionByName(sums)
-                .groupBy("item_id", "row")
-                .agg(F.sum("score").alias("score"))
-            )
-        partial = store(sums, "partial")
-        # The sum in the last place asked for, where so many accumulators are there.
-        place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
-        worst = (
-            partial.withColumn("place", place).where(F.col("place") <= count)
-            .groupBy("item_id")
-            .agg(F.min("score").alias("worst"), F.count("*").alias("n"))
-        )
-        # An item's last block at or before this one says what its remaining terms can still add.
-        left = rests.where(F.col("block") <= block).groupBy("item_id").agg(F.min("rest").alias("rest"))
-        state = left.join(worst, left["item_id"].eqNullSafe(worst["item_id"]), "left").select(
-            left["item_id"],
-            "rest",
-            F.when(F.col("n") >= count, F.col("worst")).otherwise(F.lit(0)).alias("bar"),
-        )
-        if waiting is not None:
-            state = _matching(state, waiting)
-        state = store(state, "state")
-        full = (F.col("rest") < F.col("bar")) | (F.col("rest") == 0)
-        ended = state.where(full)
-        reaching = _with(partial, ended, ["rest", "bar"]).where(F.col("score") + F.col("rest") >= F.col("bar"))
-        survivors.append(reaching.select("item_id", "row", "score", F.lit(block).alias("block")))
-        waiting = state.where(~full).select("item_id")
-        if waiting.isEmpty():
-            break
-    kind = dict(asked.dtypes)["item_id"], dict(documents.dtypes)["doc_id"]
-    if not survivors:
-        return spark.createDataFrame([], f"item_id {kind[0]}, rank int, doc_id {kind[1]}, score long")
-    kept = store(reduce(DataFrame.unionByName, survivors), "survivors")
-    rows = index.join(kept.select("row").distinct(), "row", "left_semi")
-    more = (
-        kept.select("item_id", "row", F.col("block").alias("until"))
-        .join(
-            rows.select("row", norm.alias("m"), F.explode("found").alias("p")).select(
-                "row", "p.term", F.expr("(1000000000L * p.tf) div (1000 * p.tf + 20 * m)").alias("gain")
-            ),
-            "row",
-        )
-        .join(plan.select(F.col("item_id").alias("item"), "term", "weight", "block"), "term")
-        .where(F.col("item").eqNullSafe(F.col("item_id")) & (F.col("block") > F.col("until")))
-        .select("item_id", "row", (F.col("weight") * F.col("gain")).alias("score"))
+    norm = F.expr(
+        f"CAST(50 + (CAST(50 * n AS DECIMAL(38, 0)) * {sizes.docs}L) div {sizes.terms or 1}L AS BIGINT)"
     )
-    ids = rows.select("row", "doc_id")
-    scored = (
-        kept.select("item_id", "row", "score").unionByName(more)
-        .groupBy("item_id", "row")
-        .agg(F.sum("score").alias("score"))
-        .where("score > 0")
-        .join(ids, "row")
+    held = index.select("row", norm.alias("m"), F.explode("found").alias("p")).select(
+        "row", "p.term", F.expr("(1000000000L * p.tf) div (1000 * p.tf + 20 * m)").alias("gain")
     )
+    stats = held.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("most")).collect()
+    plan = Plan([(number[i], terms[t]) for i, t in rows], {r.term: (r.df, r.most) for r in stats}, sizes.docs)
+    kept = _accumulated(spark, plan, held, count)
+    kinds = [dict(df.dtypes)[c] for df, c in ((asked, "item_id"), (documents, "doc_id"))]
+    if kept is None:
+        return spark.createDataFrame([], f"item_id {kinds[0]}, rank int, doc_id {kinds[1]}, score long")
+    due = kept.groupBy("row").agg(F.collect_list(F.struct("item", "block", "score")).alias("due"))
+    scored = _completed(index.select("row", "doc_id", norm.alias("m"), "found").join(due, "row"), plan, kinds[1])
     rank = F.row_number().over(
-        Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc("doc_id"), F.asc("row"))
+        Window.partitionBy("item").orderBy(F.desc("score"), F.asc("doc_id"), F.asc("row"))
     )
+    named = spark.createDataFrame([(k, item) for k, item in enumerate(names)], f"item int, item_id {kinds[0]}")
     return (
-        scored.withColumn("rank", rank).where(F.col("rank") <= count)
+        scored.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= count)
+        .join(F.broadcast(named), "item")  # no more rows than the slice has terms
         .select("item_id", "rank", "doc_id", "score")
     )
 
 
-def _plan(
-    spark: SparkSession, asked: DataFrame, numbers: dict[bytes, int], held: DataFrame, docs: int
-) -> DataFrame:
-    """(item_id, term, weight, block, rest): terms of the items, rarest first, in growing blocks.
+def _accumulated(spark: SparkSession, plan: Plan, held: DataFrame, count: int) -> DataFrame | None:
+    """(item, row, score, block): accumulators that can still reach an item's last place.
 
-    ``rest`` bounds what the terms after the row's own can add to any document.
+    ``score`` sums the terms up to and with that block. Null if no document holds any term.
     """
-    weight = F.floor(1000 * F.log(F.lit(2.0 * docs + 2) / (2 * F.col("df") + 1))).cast("long")
-    stats = held.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("most"))
-    named = spark.createDataFrame(
-        [(t.decode(), k) for t, k in numbers.items()], "spelled string, term int"
-    )
-    known = (
-        asked.withColumnRenamed("term", "spelled").join(named, "spelled").join(stats, "term")
-        .select("item_id", "term", "df", weight.alias("weight"), "most")
-    )
-    order = Window.partitionBy("item_id").orderBy(F.desc("weight"), "term")
-    before = F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.coalesce(
-        F.sum(F.col("weight") * F.col("most")).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)
-    )
-    filled = F.greatest(before / F.lit(float(FIRST_POSTINGS)), F.lit(1.0))
-    block: Column = F.ceil(F.log(filled) / F.log(F.lit(float(GROWTH)))).cast("int")
-    return known.select("item_id", "term", "weight", block.alias("block"), after.alias("rest"))
+    partial, survivors, waiting, block = None, [], sorted(plan.blocks), 0
+    while waiting:
+        now = spark.createDataFrame(plan.block(waiting, block), "item int, term int, weight long")
+        added = held.join(F.broadcast(now), "term").select(
+            "item", "row", (F.col("weight") * F.col("gain")).alias("score")
+        )
+        every = added if partial is None else partial.unionByName(added)
+        every = store(every.groupBy("item", "row").agg(F.sum("score").alias("score")), "partial")
+        # The sum in the last place asked for, of the items that have so many accumulators.
+        place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))
+        last = every.withColumn("place", place).where(F.col("place") <= count)
+        last = last.groupBy("item").agg(F.min("score").alias("bar"), F.count("*").alias("n"))
+        bars = {r.item: r.bar for r in last.collect() if r.n >= count}
+        state = [
+            (item, bars.get(item, 0), plan.rest[item][min(block, len(plan.rest[item]) - 1)]) for item in waiting
+        ]
+        # New documents cannot reach the last place, or all terms are done: no more accumulators.
+        ended = {item for item, bar, rest in state if rest < bar or block + 1 >= len(plan.blocks[item])}
+        known = spark.createDataFrame(
+            [(item, bar - rest, item in ended) for item, bar, rest in state], "item int, least long, ended boolean"
+        )
+        reaching = every.join(F.broadcast(known), "item").where(F.col("score") >= F.col("least"))
+        survivors.append(
+            reaching.where("ended").select("item", "row", "score", F.lit(block).alias("block"))
+        )
+        partial = reaching.where("NOT ended").select("item", "row", "score")
+        waiting = [item for item in waiting if item not in ended]
+        block += 1
+    return store(reduce(DataFrame.unionByName, survivors), "survivors") if survivors else None
 
 
-def _matching(df: DataFrame, some: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose item is one of ``some``, null included."""
-    other = some.select(F.col("item_id").alias("_item"))
-    return df.join(other, F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
+def _completed(rows: DataFrame, plan: Plan, kind: str) -> DataFrame:
+    """(item, row, doc_id, score): the accumulators of each document with all their terms."""
+    shared = rows.sparkSession.sparkContext.broadcast(plan)
 
+    def run(batches):
+        blocks = shared.value.blocks
+        later: dict[tuple[int, int], dict[int, int]] = {}
+        for batch in _slices(batches):
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("m", "found", "due"))
+            for at, (m, found, due) in enumerate(zip(*columns, strict=True)):
+                gains = {
+                    p["term"]: 1_000_000_000 * p["tf"] // (1000 * p["tf"] + 20 * m) for p in found
+                }
+                for d in due:
+                    key = d["item"], d["block"]
+                    if key not in later:
+                        later[key] = dict(t for some in blocks[key[0]][key[1] + 1 :] for t in some)
+                    more = later[key]
+                    added = sum(more[t] * gains[t] for t in more.keys() & gains.keys())
+                    out.append((at, d["item"], d["score"] + added))
+            at, items, scores = zip(*out, strict=True) if out else ((), (), ())
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(items, pa.int32()),
+                    batch.column("row").take(take),
+                    batch.column("doc_id").take(take),
+                    pa.array(scores, pa.int64()),
+                ],
+                ["item", "row", "doc_id", "score"],
+            )
 
-def _with(df: DataFrame, some: DataFrame, columns: list[str]) -> DataFrame:
-    other = some.select(F.col("item_id").alias("_item"), *columns)
-    return df.join(other, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
+    return rows.mapInArrow(run, f"item int, row long, doc_id {kind}, score long")
 
 
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,12 +32,21 @@ LONGEST = 5  # words of a phrase
 LEAST = 100  # occurrences of a phrase
 COUNT = 2_000  # phrases per language
 UNKNOWN = "und"
-BLOCK_BYTES = 4 << 20  # text of a language that makes a block
-BUFFERED_BYTES = 16 << 20  # text that a task holds back at most, besides one document
-BUNDLE_WORDS = 2 << 20  # words of one language that are scanned together
-FLUSH = 4 << 20  # hashes that a task gathers before it sends them on
-SHARE_WORDS = 1 << 20  # words of the corpus per share of the hash space
-BITS = 26  # the sieves have 2 ** BITS places, 8 MB
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How the work is cut; results are the same for any."""
+
+    block_bytes: int = 4 << 20  # text of a language that makes a block
+    buffered_bytes: int = 16 << 20  # text that a task holds back at most, besides one document
+    bundle_words: int = 2 << 20  # words of one language that are scanned together
+    flush: int = 4 << 20  # hashes that a task gathers before it sends them on
+    share_words: int = 1 << 20  # words of the corpus per share of the hash space
+    bits: int = 26  # the sieves have 2 ** bits places, 8 MB
+
+
+SIZES = Sizes()
 
 _END = b"."  # stands for every end of a piece; never part of a word
 _FOLD = bytes(
@@ -55,7 +64,7 @@ def words_of(texts: list[bytes]) -> list[bytes]:
     return _END.join(texts).translate(_FOLD).replace(_END, b" . ").split(b" ")
 
 
-def blocks(documents: DataFrame) -> DataFrame:
+def blocks(documents: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
     """(lang, n, ids, words): blocks of texts of one language; ids count into words, ends are -1."""
 
     def packed(lang: str, texts: list[bytes]) -> pa.RecordBatch:
@@ -78,7 +87,7 @@ def blocks(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         held: dict[str, list[bytes]] = {}
-        sizes: dict[str, int] = {}
+        length: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -88,13 +97,13 @@ def blocks(documents: DataFrame) -> DataFrame:
                     if text:
                         lang = UNKNOWN if lang is None else lang
                         held.setdefault(lang, []).append(text)
-                        sizes[lang] = sizes.get(lang, 0) + len(text)
-                        if sizes[lang] >= BLOCK_BYTES:
+                        length[lang] = length.get(lang, 0) + len(text)
+                        if length[lang] >= sizes.block_bytes:
                             yield packed(lang, held.pop(lang))
-                            del sizes[lang]
-                if sum(sizes.values()) >= BUFFERED_BYTES:
+                            del length[lang]
+                if sum(length.values()) >= sizes.buffered_bytes:
                     yield from (packed(lang, texts) for lang, texts in held.items())
-                    held, sizes = {}, {}
+                    held, length = {}, {}
         yield from (packed(lang, texts) for lang, texts in held.items())
 
     return documents.select("lang", "text").mapInArrow(
@@ -111,7 +120,7 @@ class Bundle:
     words: pa.Array
 
 
-def _bundles(batches) -> Iterator[Bundle]:
+def _bundles(batches, most: int) -> Iterator[Bundle]:
     waiting: dict[str, list[tuple[np.ndarray, pa.Array]]] = {}
     sizes: dict[str, int] = {}
     for batch in batches:
@@ -121,7 +130,7 @@ def _bundles(batches) -> Iterator[Bundle]:
             words = batch.column("words")[k].values
             waiting.setdefault(lang, []).append((ids, words))
             sizes[lang] = sizes.get(lang, 0) + len(ids)
-            if sizes[lang] >= BUNDLE_WORDS:
+            if sizes[lang] >= most:
                 yield _joined(lang, waiting.pop(lang))
                 del sizes[lang]
     for lang, some in waiting.items():
@@ -154,12 +163,16 @@ def _seed(lang: str) -> np.uint64:
     return _word_hashes(np.array([lang], dtype=object))[0]
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _empty(bits: int) -> np.ndarray:
+    return np.zeros(1 << (bits - 3), np.uint8)
 
 
 def _passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = _slot(hashes)
+    slot = _slot(hashes, (8 * len(sieve)).bit_length() - 1)
     return (sieve[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -212,23 +225,17 @@ def _walk(bundle: Bundle, sieves: dict, last: int, closed: bool):
             alive[places] = True
 
 
-def _shares(words: int) -> int:
-    """Bits of the hash that say the share: shares grow with the corpus, a share's sieve shrinks."""
-    return min(BITS - 6, max(0, int(words // SHARE_WORDS).bit_length()))
-
-
-def _assembled(rows) -> dict[int, np.ndarray]:
-    """Sieves by length from their shares; all of one sieve are 8 MB, however many rows there are."""
+def _assembled(rows, bits: int) -> dict[int, np.ndarray]:
+    """Sieves by length from their shares; one sieve has a fixed size, however many grams there are."""
     out: dict[int, np.ndarray] = {}
     for row in rows:
-        sieve = out.setdefault(row.length, np.zeros(1 << (BITS - 3), np.uint8))
-        bits = np.frombuffer(row.bits, np.uint8)
-        sieve[row.share * len(bits) : (row.share + 1) * len(bits)] |= bits
+        part = np.frombuffer(row.bits, np.uint8)
+        out.setdefault(row.length, _empty(bits))[row.share * len(part) : (row.share + 1) * len(part)] |= part
     return out
 
 
-def _bits(slots: np.ndarray, share: int, bits: int) -> bytes:
-    size = 1 << (BITS - bits)
+def _part(slots: np.ndarray, share: int, size: int) -> bytes:
+    """The bits of a share, which has so many places of the sieve."""
     sieve = np.zeros(size, np.uint8)
     sieve[slots - share * size] = 1
     return np.packbits(sieve, bitorder="little").tobytes()
@@ -237,15 +244,18 @@ def _bits(slots: np.ndarray, share: int, bits: int) -> bytes:
 class Corpus:
     """Stored blocks, and the ways of counting in them."""
 
-    def __init__(self, documents: DataFrame, least: int):
-        self.blocks = store(blocks(documents), "blocks")
-        self.least = least
+    def __init__(self, documents: DataFrame, least: int, cut: Sizes):
+        self.blocks = store(blocks(documents, cut), "blocks")
+        self.least, self.cut = least, cut
         self.sizes = self.blocks.groupBy("lang").agg(F.sum("n").alias("n"))
-        self.bits = _shares(self.blocks.agg(F.sum("n")).first()[0] or 0)
+        words = self.blocks.agg(F.sum("n")).first()[0] or 0
+        # Bits of the hash that say the share: shares grow with the corpus, a share's sieve shrinks.
+        self.share_bits = min(cut.bits - 6, int(words // cut.share_words).bit_length())
+        self.places = 1 << (cut.bits - self.share_bits)  # of the sieve, per share
 
     def frequent(self, sieves: dict, length: int) -> np.ndarray:
         """A sieve of the grams of ``length`` words whose hash stands often enough."""
-        bits, least = self.bits, self.least
+        bits, least, cut, places = self.share_bits, self.least, self.cut, self.places
         shared = self.blocks.sparkSession.sparkContext.broadcast(sieves)
 
         def sent(hashes: np.ndarray):
@@ -266,7 +276,7 @@ class Corpus:
 
         def run(batches):
             gathered, size = [], 0
-            for bundle in _bundles(batches):
+            for bundle in _bundles(batches, cut.bundle_words):
                 if length == 1:
                     seeded = _mixed(_word_hashes(bundle.words.to_numpy(zero_copy_only=False)) ^ _seed(bundle.lang))
                     grams = seeded[bundle.ids[bundle.ids >= 0]]
@@ -274,7 +284,7 @@ class Corpus:
                     *_, (_, _, grams) = _walk(bundle, shared.value, length, True)
                 gathered.append(grams)
                 size += len(grams)
-                if size >= FLUSH:
+                if size >= cut.flush:
                     yield from sent(np.concatenate(gathered))
                     gathered, size = [], 0
             if size:
@@ -288,7 +298,7 @@ class Corpus:
             hashes, counts = hashes[order], counts[order].astype(np.int64)
             first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
             many = hashes[first][np.add.reduceat(counts, first) >= least]
-            made = [_bits(_slot(many), share, bits)] if len(many) else []
+            made = [_part(_slot(many, cut.bits), share, places)] if len(many) else []
             return pd.DataFrame({"length": length, "share": share, "bits": made})
 
         rows = (
@@ -297,23 +307,23 @@ class Corpus:
             .applyInPandas(summed, "length int, share long, bits binary")
             .collect()  # at most one sieve: 8 MB
         )
-        return _assembled(rows).get(length, np.zeros(1 << (BITS - 3), np.uint8))
+        return _assembled(rows, cut.bits).get(length, _empty(cut.bits))
 
     def sieve(self, phrases: DataFrame) -> dict[int, np.ndarray]:
         """Sieves of all beginnings of the phrases, by their number of words."""
-        bits = self.bits
+        bits, places, whole = self.share_bits, self.places, self.cut.bits
 
         def run(frames):
             for frame in frames:
                 chains = phrase_hashes(frame["lang"].tolist(), frame["phrase"].tolist())
-                made = {(k, h >> (64 - BITS)) for chain in chains for k, h in enumerate(chain, 1)}
+                made = {(k, h >> (64 - whole)) for chain in chains for k, h in enumerate(chain, 1)}
                 yield pd.DataFrame(list(made), columns=["length", "slot"]).assign(
-                    share=[slot >> (BITS - bits) for _, slot in made]
+                    share=[slot >> (whole - bits) for _, slot in made]
                 )
 
         def packed(frame: pd.DataFrame) -> pd.DataFrame:
             share = int(frame["share"].iloc[0])
-            made = _bits(frame["slot"].to_numpy(), share, bits)
+            made = _part(frame["slot"].to_numpy(), share, places)
             return pd.DataFrame({"length": frame["length"].iloc[:1], "share": share, "bits": [made]})
 
         rows = (
@@ -324,7 +334,7 @@ class Corpus:
             .applyInPandas(packed, "length int, share long, bits binary")
             .collect()  # at most LONGEST sieves
         )
-        return _assembled(rows)
+        return _assembled(rows, whole)
 
     def counted(self, sieves: dict, lengths: range, closed: bool) -> DataFrame:
         """(lang, phrase, words, a, inner) of the grams that pass the sieves, counted by their words.
@@ -333,10 +343,10 @@ class Corpus:
         them: then a longer phrase stands as often.
         """
         shared = self.blocks.sparkSession.sparkContext.broadcast(sieves)
-        least = self.least
+        least, most = self.least, self.cut.bundle_words
 
         def run(batches):
-            for bundle in _bundles(batches):
+            for bundle in _bundles(batches, most):
                 for length, places, grams in _walk(bundle, shared.value, lengths[-1], closed):
                     if length not in lengths:
                         continue
@@ -390,14 +400,16 @@ def _phrases(bundle: Bundle, length: int, places: np.ndarray, grams: np.ndarray)
 # --- Growth -----------------------------------------------------------------------------------
 
 
-def collocations(documents: DataFrame, count: int = COUNT, least: int = LEAST) -> DataFrame:
+def collocations(
+    documents: DataFrame, count: int = COUNT, least: int = LEAST, cut: Sizes = SIZES
+) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``count`` best phrases of each language.
 
     A null lang is ``und``, a null text empty; rows count as often as they are repeated, and
     further columns are left out. Languages without a phrase that stands ``least`` times are not
     in the result. Phrases are ordered by score, then a, both descending, then by their bytes.
     """
-    corpus = Corpus(documents, least)
+    corpus = Corpus(documents, least, cut)
     common: dict = {"word": corpus.frequent({}, 1)}
     common["first"] = common["word"]
     words = store(
@@ -411,7 +423,7 @@ def collocations(documents: DataFrame, count: int = COUNT, least: int = LEAST) -
         todo = todo.where((F.col("a") > F.col("above")) & (F.col("a") <= F.col("upto")))
         if last_round and todo.isEmpty():
             break
-        sieves = common | {"first": corpus.sieve(todo).get(1, np.zeros_like(common["word"]))}
+        sieves = common | {"first": corpus.sieve(todo).get(1, _empty(cut.bits))}
         for length in range(2, LONGEST + 1):
             sieves[length] = corpus.frequent(sieves, length)
             release(documents.sparkSession)

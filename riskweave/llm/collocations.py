@@ -43,7 +43,7 @@ class Sizes:
     bundle_words: int = 2 << 20  # words of one language that are scanned together
     flush: int = 4 << 20  # hashes that a task gathers before it sends them on
     share_words: int = 1 << 20  # words of the corpus per share of the hash space
-    bits: int = 26  # the sieves have 2 ** bits places, 8 MB
+    bits: int = 26  # a sieve has at most 2 ** bits places, 8 MB
 
 
 SIZES = Sizes()
@@ -241,6 +241,10 @@ def _part(slots: np.ndarray, share: int, size: int) -> bytes:
     return np.packbits(sieve, bitorder="little").tobytes()
 
 
+def _opened(packed: dict) -> dict:
+    return {k: np.frombuffer(zstandard.decompress(v), np.uint8) for k, v in packed.items()}
+
+
 class Corpus:
     """Stored blocks, and the ways of counting in them."""
 
@@ -249,14 +253,21 @@ class Corpus:
         self.least, self.cut = least, cut
         self.sizes = self.blocks.groupBy("lang").agg(F.sum("n").alias("n"))
         words = self.blocks.agg(F.sum("n")).first()[0] or 0
+        # A gram that stands often enough takes least words of the corpus: 16 places for each.
+        self.whole = min(cut.bits, max(13, int(16 * words / least).bit_length()))
         # Bits of the hash that say the share: shares grow with the corpus, a share's sieve shrinks.
-        self.share_bits = min(cut.bits - 6, int(words // cut.share_words).bit_length())
-        self.places = 1 << (cut.bits - self.share_bits)  # of the sieve, per share
+        self.share_bits = min(self.whole - 6, int(words // cut.share_words).bit_length())
+        self.places = 1 << (self.whole - self.share_bits)  # of the sieve, per share
+
+    def _shared(self, sieves: dict):
+        """The sieves for all tasks, packed: their bits are sparse."""
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return self.blocks.sparkSession.sparkContext.broadcast({k: pack(v.tobytes()) for k, v in sieves.items()})
 
     def frequent(self, sieves: dict, length: int) -> np.ndarray:
         """A sieve of the grams of ``length`` words whose hash stands often enough."""
-        bits, least, cut, places = self.share_bits, self.least, self.cut, self.places
-        shared = self.blocks.sparkSession.sparkContext.broadcast(sieves)
+        bits, least, cut, places, whole = self.share_bits, self.least, self.cut, self.places, self.whole
+        shared = self._shared(sieves)
 
         def sent(hashes: np.ndarray):
             hashes, counts = np.unique(hashes, return_counts=True)
@@ -276,12 +287,13 @@ class Corpus:
 
         def run(batches):
             gathered, size = [], 0
+            opened = _opened(shared.value)
             for bundle in _bundles(batches, cut.bundle_words):
                 if length == 1:
                     seeded = _mixed(_word_hashes(bundle.words.to_numpy(zero_copy_only=False)) ^ _seed(bundle.lang))
                     grams = seeded[bundle.ids[bundle.ids >= 0]]
                 else:
-                    *_, (_, _, grams) = _walk(bundle, shared.value, length, True)
+                    *_, (_, _, grams) = _walk(bundle, opened, length, True)
                 gathered.append(grams)
                 size += len(grams)
                 if size >= cut.flush:
@@ -298,7 +310,7 @@ class Corpus:
             hashes, counts = hashes[order], counts[order].astype(np.int64)
             first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
             many = hashes[first][np.add.reduceat(counts, first) >= least]
-            made = [_part(_slot(many, cut.bits), share, places)] if len(many) else []
+            made = [_part(_slot(many, whole), share, places)] if len(many) else []
             return pd.DataFrame({"length": length, "share": share, "bits": made})
 
         rows = (
@@ -307,11 +319,12 @@ class Corpus:
             .applyInPandas(summed, "length int, share long, bits binary")
             .collect()  # at most one sieve: 8 MB
         )
-        return _assembled(rows, cut.bits).get(length, _empty(cut.bits))
+        shared.destroy()
+        return _assembled(rows, whole).get(length, _empty(whole))
 
     def sieve(self, phrases: DataFrame) -> dict[int, np.ndarray]:
         """Sieves of all beginnings of the phrases, by their number of words."""
-        bits, places, whole = self.share_bits, self.places, self.cut.bits
+        bits, places, whole = self.share_bits, self.places, self.whole
 
         def run(frames):
             for frame in frames:
@@ -329,7 +342,6 @@ class Corpus:
         rows = (
             phrases.select("lang", "phrase")
             .mapInPandas(run, "length int, slot long, share long")
-            .distinct()
             .groupBy("length", "share")
             .applyInPandas(packed, "length int, share long, bits binary")
             .collect()  # at most LONGEST sieves
@@ -342,15 +354,16 @@ class Corpus:
         ``inner`` says that all occurrences have the same word before them, or all the same after
         them: then a longer phrase stands as often.
         """
-        shared = self.blocks.sparkSession.sparkContext.broadcast(sieves)
+        shared = self._shared(sieves)
         least, most = self.least, self.cut.bundle_words
 
         def run(batches):
+            opened = _opened(shared.value)
             for bundle in _bundles(batches, most):
-                for length, places, grams in _walk(bundle, shared.value, lengths[-1], closed):
+                for length, places, grams in _walk(bundle, opened, lengths[-1], closed):
                     if length not in lengths:
                         continue
-                    ok = _passes(shared.value["word" if length == 1 else length], grams)
+                    ok = _passes(opened["word" if length == 1 else length], grams)
                     if ok.any():
                         yield _phrases(bundle, length, places[ok], grams[ok])
 
@@ -423,7 +436,7 @@ def collocations(
         todo = todo.where((F.col("a") > F.col("above")) & (F.col("a") <= F.col("upto")))
         if last_round and todo.isEmpty():
             break
-        sieves = common | {"first": corpus.sieve(todo).get(1, _empty(cut.bits))}
+        sieves = common | {"first": corpus.sieve(todo).get(1, _empty(corpus.whole))}
         for length in range(2, LONGEST + 1):
             sieves[length] = corpus.frequent(sieves, length)
             release(documents.sparkSession)

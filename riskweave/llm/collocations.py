@@ -355,7 +355,7 @@ class Corpus:
         them: then a longer phrase stands as often.
         """
         shared = self._shared(sieves)
-        least, most = self.least, self.cut.bundle_words
+        least, most, bits = self.least, self.cut.bundle_words, self.share_bits
 
         def run(batches):
             opened = _opened(shared.value)
@@ -365,28 +365,31 @@ class Corpus:
                         continue
                     ok = _passes(opened["word" if length == 1 else length], grams)
                     if ok.any():
-                        yield _phrases(bundle, length, places[ok], grams[ok])
-
-        found = self.blocks.mapInArrow(
-            run, "lang string, phrase string, words int, n long, left string, right string"
-        )
-
-        def same(name: str):
-            return (F.count(name) == F.count("*")) & (F.min(name) == F.max(name))
+                        yield _phrases(bundle, length, places[ok], grams[ok], bits)
 
         return (
-            found.groupBy("lang", "phrase", "words")
-            .agg(F.sum("n").alias("a"), F.coalesce(same("left") | same("right"), F.lit(False)).alias("inner"))
-            .where(F.col("a") >= least)
+            self.blocks.mapInArrow(
+                run,
+                "share long, lang string, words int, phrase array<string>, n array<long>, "
+                "left array<string>, right array<string>",
+            )
+            .groupBy("share")
+            .applyInPandas(
+                lambda frame: _summed(frame, least), "lang string, phrase string, words int, a long, inner boolean"
+            )
         )
 
 
-def _phrases(bundle: Bundle, length: int, places: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
-    """One row per distinct phrase at the places, with its one neighbour on each side, or null."""
+def _phrases(bundle: Bundle, length: int, places: np.ndarray, grams: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The distinct phrases at the places, with their one neighbour on each side, or null.
+
+    They travel as lists, a row for what the bundle has of a share of the hash space.
+    """
     ids = bundle.ids
+    share = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
     spelled = np.stack([ids[places + k] for k in range(length)])
     order = np.argsort(grams, kind="stable")
-    spelled, places = spelled[:, order], places[order]
+    spelled, places, share = spelled[:, order], places[order], share[order]
     new = np.r_[True, (spelled[:, 1:] != spelled[:, :-1]).any(axis=0)]
     first = np.flatnonzero(new)  # a clash of hashes only makes more rows of one phrase
     counts = np.diff(np.r_[first, len(places)])
@@ -397,16 +400,42 @@ def _phrases(bundle: Bundle, length: int, places: np.ndarray, grams: np.ndarray)
         sides.append(bundle.words.take(pa.array(low, mask=(low != high) | (low < 0))))
     parts = [bundle.words.take(pa.array(spelled[k, first])) for k in range(length)]
     phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
-    size = len(first)
+    share = share[first]
+    begin = np.flatnonzero(np.r_[True, share[1:] != share[:-1]])
+    offsets = pa.array(np.r_[begin, len(share)].astype(np.int32))
+    columns = [phrase, pa.array(counts.astype(np.int64)), *sides]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([bundle.lang] * size, pa.string()),
-            phrase,
-            pa.array(np.full(size, length, np.int32)),
-            pa.array(counts.astype(np.int64)),
-            *sides,
+            pa.array(share[begin]),
+            pa.array([bundle.lang] * len(begin), pa.string()),
+            pa.array(np.full(len(begin), length, np.int32)),
+            *[pa.ListArray.from_arrays(offsets, column) for column in columns],
         ],
-        ["lang", "phrase", "words", "n", "left", "right"],
+        ["share", "lang", "words", "phrase", "n", "left", "right"],
+    )
+
+
+def _summed(frame: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Counts of the phrases of a share, and whether one neighbour is the same everywhere."""
+    sizes = frame["phrase"].str.len().to_numpy()
+    lang = frame["lang"].to_numpy().repeat(sizes)
+    words = frame["words"].to_numpy().repeat(sizes)
+    phrase, n, left, right = (np.concatenate(frame[c].tolist()) for c in ("phrase", "n", "left", "right"))
+    lang_code, langs = pd.factorize(lang)
+    code, _ = pd.factorize(phrase)
+    code = code.astype(np.int64) * len(langs) + lang_code
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
+    a = np.add.reduceat(n[order].astype(np.int64), first)
+    inner = np.zeros(len(first), bool)
+    for side in (left, right):
+        beside = pd.factorize(side)[0][order]  # null is -1
+        low = np.minimum.reduceat(beside, first)
+        inner |= (low >= 0) & (low == np.maximum.reduceat(beside, first))
+    often = a >= least
+    one = order[first][often]
+    return pd.DataFrame(
+        {"lang": lang[one], "phrase": phrase[one], "words": words[one], "a": a[often], "inner": inner[often]}
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import store, table
-from .vectors import cosines, digested, matrix, unit, usable
+from .vectors import cosines, matrix, tagged, unit
 
 NEAREST = 5
 SAMPLE_ROWS = 20_000  # vectors that centroids are fitted on; every vector is indexed
@@ -24,6 +24,7 @@ PROBE_STEPS = 512  # and when a query chooses its lists
 PRUNE = 1.25  # a query reads lists whose centroid is so many times as far as the nearest
 LEAST_LISTS = 8  # but never fewer than these
 ROUNDING = 1e-9  # far above what two ways to compute one cosine differ by
+HELD = 500_000  # candidates that a task holds before it cuts them down
 BLOCK = 512  # queries, and vectors of a list, that are compared at a time
 
 
@@ -123,10 +124,11 @@ def nearest(embeddings: DataFrame, is_query, count: int = NEAREST) -> DataFrame:
     searched once, so copies neither fill a list nor repeat a search; of a class, as many of the
     smallest ids as can be needed answer. A query never finds its own id. Ties go to the smaller
     id. Rows without an id and null, zero or non-finite vectors take no part; repeated rows
-    count once; vectors of different length never meet.
+    count once, and an id on rows with different vectors stands for the one of the least digest;
+    vectors of different length never meet.
     """
-    vectors = usable(embeddings)
-    digests = store(digested(vectors), "digests")
+    rows = store(tagged(embeddings).where("vec_id IS NOT NULL AND digest IS NOT NULL"), "rows")
+    digests = store(rows.groupBy("vec_id").agg(F.min("digest").alias("digest")), "digests")
     few = Window.partitionBy("digest").orderBy("vec_id")
     members = store(
         digests.withColumn("place", F.row_number().over(few))
@@ -137,7 +139,10 @@ def nearest(embeddings: DataFrame, is_query, count: int = NEAREST) -> DataFrame:
         "members",
     )
     reps = store(
-        vectors.withColumnRenamed("vec_id", "id").join(members.select("id"), "id", "left_semi"),
+        rows.withColumnRenamed("vec_id", "id")
+        .join(members.select("id", "digest"), ["id", "digest"], "left_semi")
+        .dropDuplicates(["id"])
+        .select("id", "embedding"),
         "reps",
     )
     indexes = fit(reps, reps.count())
@@ -228,27 +233,59 @@ def _blocks(placed: DataFrame) -> DataFrame:
 
 
 def _compared(frames, count: int):
-    """The ``count`` nearest of each query within each pair of blocks."""
+    """The ``count`` nearest of each query within all the pairs of blocks that a task gets.
+
+    Candidates of a query are cut down to the nearest as they come, so that what a task returns
+    hangs on its queries only, and what it holds is bounded by ``HELD``.
+    """
+    held: list[pd.DataFrame] = []
+    rows = 0
     for frame in frames:
-        for q_ids, q_vectors, ids, vectors in zip(
+        for pair in zip(
             frame["q_ids"], frame["q_vectors"], frame["ids"], frame["vectors"], strict=True
         ):
-            q, x = matrix(q_vectors), matrix(vectors)
-            ids = np.asarray(ids)
-            near = unit(q) @ unit(x).T
-            # All that may be among the first by the exact score, which orders near-equal ones.
-            last = len(ids) - min(len(ids), count)
-            least = np.partition(near, last, axis=1)[:, last] - ROUNDING
-            for at in range(0, len(q), 64):
-                row, col = np.nonzero(near[at : at + 64] >= least[at : at + 64, None])
-                row += at
-                score = cosines(q[row], x[col])
-                order = np.lexsort((ids[col], -score, row))
-                rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
-                kept = order[rank < count]
-                yield pd.DataFrame(
-                    {"rep": np.asarray(q_ids)[row[kept]], "id": ids[col[kept]], "score": score[kept]}
-                )
+            met = _met(*pair, count)
+            held += met
+            rows += sum(map(len, met))
+            if rows >= HELD:
+                held = [_first(held, count)]
+                rows = len(held[0])
+                if rows >= HELD // 2:  # so many queries: what is known of them goes on
+                    yield held.pop()
+                    rows = 0
+    if held:
+        yield _first(held, count)
+
+
+def _met(q_ids, q_vectors, ids, vectors, count: int) -> list[pd.DataFrame]:
+    """The ``count`` nearest of each query of one block among the vectors of another."""
+    q, x = matrix(q_vectors), matrix(vectors)
+    ids = np.asarray(ids)
+    near = unit(q) @ unit(x).T
+    # All that may be among the first by the exact score, which orders near-equal ones.
+    last = len(ids) - min(len(ids), count)
+    least = np.partition(near, last, axis=1)[:, last] - ROUNDING
+    out = []
+    for at in range(0, len(q), 64):
+        row, col = np.nonzero(near[at : at + 64] >= least[at : at + 64, None])
+        row += at
+        score = cosines(q[row], x[col])
+        found = {"rep": np.asarray(q_ids)[row], "id": ids[col], "score": score}
+        out.append(_first([pd.DataFrame(found)], count))
+    return out
+
+
+def _first(frames: list[pd.DataFrame], count: int) -> pd.DataFrame:
+    """The ``count`` nearest of each query, each candidate once, ties to the smaller id."""
+    found = pd.concat(frames, ignore_index=True)
+    rep, ids, score = (found[c].to_numpy() for c in ("rep", "id", "score"))
+    order = np.lexsort((ids, -score, rep))
+    rep, ids, score = rep[order], ids[order], score[order]
+    new = np.r_[True, (rep[1:] != rep[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])]
+    rep, ids, score = rep[new], ids[new], score[new]
+    rank = np.arange(len(rep)) - np.searchsorted(rep, rep)
+    kept = rank < count
+    return pd.DataFrame({"rep": rep[kept], "id": ids[kept], "score": score[kept]})
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,29 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of rows with an id and a finite vector that is not zero, once each."""
-    x = F.col("embedding")
-    sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return (
-        embeddings.select("vec_id", "embedding")
-        .where(F.col("vec_id").isNotNull() & x.isNotNull() & sound)
-        .where(F.exists(x, lambda v: v != 0))
-    )
+def tagged(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, embedding, digest) of every row; the digest is null where a row takes no part.
 
-
-def digested(vectors: DataFrame) -> DataFrame:
-    """Distinct (vec_id, digest); equal vectors have equal digests."""
+    Equal vectors have equal digests, whatever the signs of their zeros.
+    """
 
     def digests(frames):
         for frame in frames:
             made = [
-                xxhash.xxh3_128_digest((np.asarray(v, np.float64) + 0.0).tobytes())
-                for v in frame["embedding"]
+                None if vec_id is None or pd.isna(vec_id) else _digest(v)
+                for vec_id, v in zip(frame["vec_id"], frame["embedding"], strict=True)
             ]
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "digest": made})
+            yield frame.assign(vec_id=frame["vec_id"].astype("Int64"), digest=made)
+
+    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInPandas(digests, "vec_id long, embedding array<double>, digest binary")
+
 
-    return vectors.mapInPandas(digests, "vec_id long, digest binary").distinct()
+def _digest(vector) -> bytes | None:
+    if vector is None:
+        return None
+    x = np.asarray(vector, np.float64) + 0.0
+    if not np.isfinite(x).all() or not x.any():
+        return None
+    return xxhash.xxh3_128_digest(x.tobytes())
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -46,5 +48,17 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosine of each row of ``x`` with the same row of ``y``, the same wherever it is computed."""
+    """Cosine of each row of ``x`` with the same row of ``y``, the same wherever it is computed.
+
+    Rows whose squares would overflow or vanish are scaled by a power of two first, which is exact.
+    """
+    x, y = _ranged(x), _ranged(y)
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+
+
+def _ranged(x: np.ndarray) -> np.ndarray:
+    power = np.frexp(np.abs(x).max(axis=1, initial=0.0))[1]
+    far = np.abs(power) > 200
+    if not far.any():
+        return x
+    return np.ldexp(x, np.where(far, -power, 0)[:, None])

@@ -11,8 +11,6 @@ blocks, so neither shares nor blocks grow with it.
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -60,20 +58,18 @@ def encode(documents: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 def decode(encoded: DataFrame) -> DataFrame:
     """``encoded`` with ``decoded``: the bytes of its ids, looked up in the token table.
 
-    The table has one row per id of the vocabulary, so every task holds it whole. An id outside
-    it is an error.
+    The table has one row per id of the vocabulary, so every task holds it whole, as one array
+    in the order of the ids; no Python runs beside the one that puts documents together. An id
+    outside it is an error.
     """
-
-    def looked_up(frames):
-        tokens = _token_table()
-        for whole in frames:
-            for at in range(0, len(whole), TEXTS_AT_A_TIME):
-                frame = whole.iloc[at : at + TEXTS_AT_A_TIME]
-                texts = [b"".join(map(tokens.__getitem__, ids.tolist())) for ids in frame["ids"]]
-                yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), decoded=texts)
-
-    return encoded.select("doc_id", "ids").mapInPandas(
-        looked_up, "doc_id long, ids array<int>, decoded binary"
+    known = {rank: token.hex() for token, rank in vocabulary.token_bytes().items()}
+    tokens = [known.get(k) for k in range(max(known) + 1)]
+    table_of = encoded.sparkSession.createDataFrame([(tokens,)], "tokens array<string>").scalar()
+    outside = F.raise_error(F.lit("an id is outside the vocabulary")).cast("string")
+    looked_up = F.transform("ids", lambda k: F.coalesce(F.get("tokens", k), outside))
+    return (
+        encoded.select("doc_id", "ids", table_of.alias("tokens"))
+        .select("doc_id", "ids", F.unhex(F.array_join(looked_up, "")).alias("decoded"))
     )
 
 
@@ -99,22 +95,27 @@ def _block(ids: list, texts: list[str]) -> tuple[int, list, list[np.ndarray], li
         data = text.encode()
         name.update(f"{doc_id} {len(data)} ")
         name.update(data)
+    numbers: dict[str, int] = {}  # by first mention, so that frequent words have low ones
+    runs: list[np.ndarray] = []
+    for at in range(0, len(texts), TEXTS_AT_A_TIME):
+        runs += _runs(texts[at : at + TEXTS_AT_A_TIME], numbers)
+    return name.intdigest() - 2**63, ids, runs, list(numbers)
+
+
+def _runs(texts: list[str], numbers: dict[str, int]) -> list[np.ndarray]:
+    """Numbers of each document's words; words met for the first time get the next ones."""
     cuts = [vocabulary.parted(text) for text in texts]
     exact = pa.array([part for parts, _ in cuts for part in parts], pa.large_string())
     split = pc.split_pattern(pa.array([rest for _, rest in cuts], pa.large_string()), " ")
     begin, after = exact.dictionary_encode(), split.flatten().dictionary_encode()
     words = [*_values(begin), *(" " + word for word in _values(after))]
-    first = begin.indices.to_numpy()
-    later = after.indices.to_numpy() + len(begin.dictionary)
-    order = np.argsort(-np.bincount(np.r_[first, later], minlength=len(words)), kind="stable")
-    number = np.empty(len(words), "<u4")
-    number[order] = np.arange(len(words))
-    words = [words[k] for k in order]
+    number = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), "<u4", len(words))
+    first = number[begin.indices.to_numpy()]
+    later = number[after.indices.to_numpy() + len(begin.dictionary)]
     of_first = np.cumsum([len(parts) for parts, _ in cuts])[:-1]
     of_later = np.cumsum(pc.list_value_length(split).fill_null(0).to_numpy())[:-1]
-    both = zip(np.split(number[first], of_first), np.split(number[later], of_later), strict=True)
-    runs = [np.concatenate(some) for some in both]
-    return name.intdigest() - 2**63, ids, runs, words
+    both = zip(np.split(first, of_first), np.split(later, of_later), strict=True)
+    return [np.concatenate(some) for some in both]
 
 
 def _values(encoded: pa.DictionaryArray) -> list[str]:
@@ -205,11 +206,6 @@ def _assembled(documents: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": documents["doc_id"].astype("Int64"), "ids": out})
 
 
-@cache
-def _token_table() -> dict[int, bytes]:
-    return {rank: token for token, rank in vocabulary.token_bytes().items()}
-
-
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of every document."""
     both = decode(encode(table(spark, sf_dir, "documents", "doc_id", "text")))

@@ -13,6 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+ROWS_AT_A_TIME = 256  # rows that a function of lists gets
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; any others stay unread."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -115,6 +118,7 @@ def mapped(df: DataFrame, function, used: tuple[str, ...], added: str, keep: tup
     """``df`` with columns ``added`` that ``function`` makes of lists of the columns ``used``.
 
     Columns that are used leave unless they are in ``keep``; the others pass through as they are.
+    A few rows at a time are made into lists, so that a task never holds a whole batch of texts.
     """
     passed = [c for c in df.columns if c not in used or c in keep]
     extra = StructType.fromDDL(added)
@@ -122,8 +126,9 @@ def mapped(df: DataFrame, function, used: tuple[str, ...], added: str, keep: tup
 
     def run(batches):
         types = to_arrow_schema(extra)
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_A_TIME):
+                batch = whole.slice(at, ROWS_AT_A_TIME)
                 made = function(*(batch.column(c).to_pylist() for c in used))
                 new = [pa.array(m, f.type) for m, f in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(

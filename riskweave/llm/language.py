@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -22,7 +25,28 @@ SMOOTHING = 0.1  # added to every count
 REMEMBERED = 300_000  # distinct words a worker remembers
 LONGEST = 16  # characters of a piece at most
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+def _ranges(kinds: str) -> str:
+    """The characters whose general category begins with one of the kinds, as ranges of a class."""
+    out, start = [], None
+    for code in range(sys.maxunicode + 2):
+        inside = code <= sys.maxunicode and unicodedata.category(chr(code))[0] in kinds
+        if inside and start is None:
+            start = code
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+@cache
+def _words() -> re.Pattern:
+    """A word is a letter and the letters and combining marks after it, as Unicode has them."""
+    return re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    return _words().findall((text or "").lower())
 
 
 @dataclass(frozen=True)
@@ -44,8 +68,9 @@ def _processor(name: str):
 def fit(documents: DataFrame, rows: int = SAMPLE_ROWS, pieces: str = PIECES) -> Model:
     """Piece probabilities per language from (doc_id, text, lang).
 
-    Pieces are counted in at most ``rows`` documents of each language. Counting is distributed;
-    what returns has one row per language and piece.
+    Pieces are counted in the best segmentations of at most ``rows`` documents of each language, and
+    pieces that none of them has get the smoothing alone. Counting is distributed; what returns
+    has one row per language and piece.
     """
     classes = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL").select(
         "doc_id", F.col("lang").alias("y")
@@ -58,7 +83,7 @@ def fit(documents: DataFrame, rows: int = SAMPLE_ROWS, pieces: str = PIECES) ->
         processor = _processor(pieces)
         for frame in frames:
             for language, texts in frame.groupby("y")["text"]:
-                words = [w for text in texts for w in _WORD.findall(text.lower())]
+                words = [w for text in texts for w in words_of(text)]
                 found = pd.Series(words, dtype=object).value_counts()
                 split = processor.encode(found.index.tolist(), out_type=str, num_threads=1)
                 exploded = pd.DataFrame({"piece": split, "n": found.to_numpy()}).explode("piece")
@@ -71,12 +96,22 @@ def fit(documents: DataFrame, rows: int = SAMPLE_ROWS, pieces: str = PIECES) ->
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )
-    return _model(counts)
+    return _model(counts, vocabulary(pieces))
+
+
+def vocabulary(name: str = PIECES) -> list[str]:
+    """The pieces of a public vocabulary that stand for characters."""
+    p = _processor(name)
+    plain = (k for k in range(p.get_piece_size()) if not (p.is_control(k) or p.is_unknown(k) or p.is_byte(k)))
+    return [piece for piece in map(p.id_to_piece, plain) if len(piece) <= LONGEST]
 
 
-def _model(counts: pd.DataFrame) -> Model:
+def _model(counts: pd.DataFrame, pieces: Sequence[str] = ()) -> Model:
+    """Probabilities of all pieces of the vocabulary, whether the sample had them or not."""
     counts = counts[counts["piece"].str.len() <= LONGEST]
     wide = counts.pivot_table(index="piece", columns="y", values="n", aggfunc="sum", fill_value=0)
+    if len(wide.columns):
+        wide = wide.reindex(wide.index.union(pd.Index(pieces, dtype=object)), fill_value=0)
     wide = wide.sort_index().sort_index(axis=1)
     smooth = wide.to_numpy(float) + SMOOTHING
     # One more row for a character that no piece covers.
@@ -154,7 +189,7 @@ _owner: list[Model] = []
 
 
 def _answers(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
-    words = [_WORD.findall((text or "").lower()) for text in texts]
+    words = [words_of(text) for text in texts]
     places, scores = _places(words, model)
     best, posterior = [], []
     for some in places:

@@ -62,6 +62,12 @@ def epoch_second(ts: Column) -> Column:
     return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def epoch_micros(ts: Column) -> Column:
+    """Whole microseconds since 1970 of a zone-less timestamp, without consulting any zone."""
+    within = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return (epoch_second(ts) - F.second(ts)) * 1_000_000 + within
+
+
 def minutes_between(start: Column, end: Column) -> Column:
     """Whole minutes from ``start`` to ``end``, cut off, as TIMESTAMPDIFF(MINUTE) counts them."""
     gap = end - start

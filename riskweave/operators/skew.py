@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 # however large the data is.
 HOT_SHARE = 1 / 20_000
 
+# Pairs that one cell of a grid join should have at most.
+CELL_PAIRS = 2_500
+_SALTS = 32
+
 
 def row_total(df: DataFrame) -> Column:
     """Number of rows as a one-value subquery: a count over no columns, without a shuffle."""
@@ -61,30 +65,67 @@ def attach(
     )
 
 
-def fan_out_join(
+def grid_join(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    keys: Sequence[str],
     *,
     left_id: str,
-    chunk: int = 1_000,
-    hot_share: float = HOT_SHARE,
+    right_id: str,
+    cell_pairs: int = CELL_PAIRS,
 ) -> DataFrame:
-    """Inner many-to-many join whose output per key is split over several tasks.
+    """Inner many-to-many join whose output per key is spread over several tasks.
 
-    A key with many rows on both sides yields their product. The rows of a key that is hot on
-    the left are cut into chunks of about ``chunk``, and the key's right rows are copied once
-    per chunk, so that each chunk is a join key of its own. The list of hot keys is of bounded
-    size and broadcast. A key with much input on the right is split by Spark's skew join.
+    A key with many rows on either side yields their product, which may be large although
+    neither side is. Rows are therefore counted per key on both sides, and a key with more than
+    ``cell_pairs`` pairs is laid out as a grid: each side is dealt into parts by its id, and each
+    pair of parts is a cell, a join key of its own. Cells are about square, which copies rows
+    least, unless one side is shorter than that.
+
+    Only keys with a grid are looked up for the rows, in a shuffle in which each of them stands
+    under ``_SALTS`` keys, so that a hot key does not gather in one task there either. The ids
+    should differ between the rows of a key: rows that share one stay in one part. Rows without
+    a key match nothing. Names beginning with an underscore are taken.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    chunks = counts.where(F.col("_n") > row_total(left) * hot_share).select(
-        key, F.ceil(F.col("_n") / F.lit(chunk)).alias("_chunks")
+    known = F.lit(True)
+    for key in keys:
+        known &= F.col(key).isNotNull()
+    left, right = left.where(known), right.where(known)
+    sizes = _key_rows(left, keys, "_left").join(_key_rows(right, keys, "_right"), list(keys))
+    pairs = F.col("_left").cast("double") * F.col("_right")
+    side = float(cell_pairs) ** 0.5
+
+    def parts(own: str, other: str) -> Column:
+        """How many parts a side is dealt into."""
+        alone = F.ceil(pairs / F.lit(float(cell_pairs)))
+        square = F.ceil(F.col(own) / F.lit(side))
+        one = F.lit(1).cast("long")
+        return F.when(F.col(own) <= side, one).when(F.col(other) <= side, alone).otherwise(square)
+
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))
+    grid = sizes.where(pairs > cell_pairs).select(
+        *keys,
+        parts("_left", "_right").alias("_left_parts"),
+        parts("_right", "_left").alias("_right_parts"),
+        salts.alias("_salt"),
     )
-    parts = F.coalesce("_chunks", F.lit(1).cast("long"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-    cut = left.join(F.broadcast(chunks), key, "left").select(
-        *left.columns, F.pmod(F.xxhash64(left_id), parts).alias("_chunk")
+    cells = [*keys, "_left_part", "_right_part"]
+    return (
+        _dealt(left, grid, keys, "_left", "_right", left_id)
+        .join(_dealt(right, grid, keys, "_right", "_left", right_id), cells)
+        .drop("_left_part", "_right_part")
     )
-    copied = right.join(F.broadcast(chunks), key, "left").select(*right.columns, each.alias("_chunk"))
-    return cut.join(copied, [key, "_chunk"]).drop("_chunk")
+
+
+def _key_rows(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+
+def _dealt(df: DataFrame, grid: DataFrame, keys: Sequence[str], own: str, other: str, row_id: str) -> DataFrame:
+    """Rows with their own part, once for each part of the other side."""
+    salt = F.pmod(F.xxhash64(F.lit("salt"), row_id), F.lit(_SALTS).cast("long"))
+    sized = df.withColumn("_salt", salt).join(grid, [*keys, "_salt"], "left")
+    one = F.lit(1).cast("long")
+    mine = F.pmod(F.xxhash64(row_id), F.coalesce(f"{own}_parts", one))
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce(f"{other}_parts", one) - 1)
+    return sized.select(*df.columns, mine.alias(f"{own}_part"), F.explode(every).alias(f"{other}_part"))

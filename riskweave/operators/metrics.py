@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,9 @@ from .skew import HOT_SHARE
 SCORE_THRESHOLDS = tuple(range(35, 98, 5))
 PROBABILITY_THRESHOLDS = tuple(i / 100 for i in range(10, 91, 5))
 
+# Cells that the distinct scores are dealt into, a square number.
+SCORE_CELLS = 1_024
+
 
 def confusion_counts(df: DataFrame, label: str = "is_fraud", prediction: str = "prediction") -> DataFrame:
     """Rows per label and prediction: all that the two reports below need."""
@@ -96,27 +100,21 @@ def classification_report(counts: DataFrame) -> DataFrame:
 
 
 def ranking_metrics(
-    df: DataFrame, score: str, label: str = "is_fraud", grid: int = 1_000_000
+    df: DataFrame, score: str, label: str = "is_fraud", cells: int = SCORE_CELLS
 ) -> DataFrame:
     """Area under the ROC curve and average precision, exact, one row.
 
     Both need only the labels per distinct score, in order of the score. Those counts are
-    cumulated in two steps: over cells, then over the scores in a cell. Cells cut the range from
-    the least to the largest score into ``grid`` equal parts, so the one window without a
-    partition has at most ``grid`` + 1 rows, whatever kind of score that is.
+    cumulated in two steps: over cells, then over the scores in a cell. A sketch of the distinct
+    scores puts about as many of them into each of ``cells`` cells, wherever the scores crowd.
+    It reads the counts, so the scored rows are evaluated once.
     """
     known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    value = F.col(score).cast("double")
-    least = known.agg(F.min(value)).scalar()
-    width = known.agg(F.max(value) - F.min(value)).scalar()
-    cell = F.floor(F.coalesce((value - least) / F.nullif(width, F.lit(0.0)), F.lit(0.0)) * grid)
-    points = (
-        known.groupBy(F.col(score).alias("score"), cell.alias("cell"))
-        .agg(
-            F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
-            F.count(F.when(F.col(label) != 1, 1)).alias("neg"),
-        )
+    counts = known.groupBy(F.col(score).alias("score")).agg(
+        F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
+        F.count(F.when(F.col(label) != 1, 1)).alias("neg"),
     )
+    points = _with_cell(counts, F.col("score").cast("double"), math.isqrt(max(4, cells)))
     descending = Window.partitionBy(F.lit(1)).orderBy(F.desc("cell"))
     above = descending.rowsBetween(Window.unboundedPreceding, -1)
     whole = descending.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -160,6 +158,26 @@ def ranking_metrics(
     )
 
 
+def _with_cell(counts: DataFrame, value: Column, step: int) -> DataFrame:
+    """Counts with the cell of their score: how many cuts lie below it, looked up in two steps."""
+    cuts = step * step
+    steps = [k / cuts for k in range(1, cuts)]
+    # All columns take part, so that the sketch shares the shuffle of the counts.
+    sketched = F.when(F.col("pos") + F.col("neg") > 0, value)
+    cut = counts.agg(F.percentile_approx(sketched, steps, 100 * cuts).alias("fine"))
+    every = F.sequence(F.lit(1), F.lit(step - 1))
+    coarse_cuts = F.transform(every, lambda k: F.get("fine", k * step - 1))
+    found = cut.select(F.struct("fine", coarse_cuts.alias("coarse"))).scalar()
+    coarse = F.size(F.filter("_cut.coarse", lambda c: c < value))
+    fine = F.slice("_cut.fine", F.col("_coarse") * step + 1, F.lit(step - 1))
+    return (
+        counts.withColumn("_cut", found)
+        .withColumn("_coarse", coarse)
+        .withColumn("cell", F.col("_coarse") * step + F.size(F.filter(fine, lambda c: c < value)))
+        .drop("_cut", "_coarse")
+    )
+
+
 def threshold_sweep_score(
     df: DataFrame,
     thresholds: Sequence[int] = SCORE_THRESHOLDS,

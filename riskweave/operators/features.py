@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.signals import SIGNALS, flag, foreign_flag
 from .profiles import with_user_day
@@ -42,6 +43,10 @@ FEATURES_V2 = (
 
 QUARTILES = (0.25, 0.5, 0.75)
 
+# Values that are ordered for one quartile, about, and cuts of a narrowing sketch.
+ORDERED_VALUES = 10_000
+_CUTS = 1_000
+
 
 def features_v1(
     df: DataFrame, stats_from: DataFrame | None = None, hot_share: float = HOT_SHARE
@@ -70,10 +75,12 @@ def features_v2(
     stats_from: DataFrame | None = None,
     unknown_ratio: float = 1.0,
     hot_share: float = HOT_SHARE,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Raw and engineered values per row, with key and label.
 
-    The ratio to the user's mean is ``unknown_ratio`` where the mean is unknown or zero.
+    The ratio to the user's mean is ``unknown_ratio`` where the mean is unknown or zero. Statistics
+    come from the rows, from those of ``stats_from``, or from a profile table's ``days``.
     """
     columns = {
         "failed_logins": F.col("failed_logins"),
@@ -92,7 +99,7 @@ def features_v2(
         "daily_velocity": F.col("day_count"),
         "amt_vs_avg_ratio": F.coalesce(ratio, F.lit(unknown_ratio).cast("double")),
     }
-    return _build(df, columns, late, FEATURES_V2, stats_from, hot_share)
+    return _build(df, columns, late, FEATURES_V2, stats_from, hot_share, days)
 
 
 def _build(
@@ -102,13 +109,14 @@ def _build(
     order: Sequence[str],
     stats_from: DataFrame | None,
     hot_share: float,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Row-local features are computed before the shuffle, so that only they travel."""
     source = df if stats_from is None else stats_from
     narrow = df.select(
         "txn_id", "user_id", "txn_time", F.col("amount"), "is_fraud", *[c.alias(n) for n, c in early.items()]
     )
-    known = with_user_day(narrow, source, hot_share)
+    known = with_user_day(narrow, source, hot_share, days)
     return known.select("txn_id", "is_fraud", *[late.get(n, F.col(n)).alias(n) for n in order])
 
 
@@ -120,99 +128,152 @@ def flag_counts(features: DataFrame) -> DataFrame:
 
 
 def feature_stats(
-    features: DataFrame, names: Sequence[str] = FEATURES_V2, accuracy: int = 10_000
+    features: DataFrame,
+    names: Sequence[str] = FEATURES_V2,
+    accuracy: int = 10_000,
+    ordered: int = ORDERED_VALUES,
 ) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles per feature, two decimals.
 
-    Holding every distinct value in one place would not scale, so quartiles take two passes.
-    The first, run at once, brings back one row per feature, with a sketch that brackets each
-    quartile's rank between two values. Its rank error is at most 1 / ``accuracy`` of the rows;
-    the margin adds two such steps and three ranks. A bracket that is a single value is the
-    quartile itself. For the others the second pass counts the values below, orders those
-    inside, a few in ten thousand, and fails should the rank lie outside.
+    Quartiles are selected by narrowing brackets around their ranks, all of them side by side. A
+    first aggregate, run at once, brings back one row with counts and a sketch that brackets every
+    rank. While a bracket may hold more than ``ordered`` values, which with the defaults begins at
+    some sixteen million rows, another aggregate of one row counts and sketches what lies in the
+    brackets. The values that are left are ordered, at most about ``ordered`` per quartile at any
+    size of the table, and a rank that lies outside its bracket fails. No row is copied per feature.
     """
-    margin = 3 / accuracy + 3 / max(1, features.count())
-    probes = [max(0.0, q - margin) for q in QUARTILES] + [min(1.0, q + margin) for q in QUARTILES]
-    summary = (
-        _long(features, names)
-        .groupBy("feature")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.percentile_approx("value", probes, accuracy).alias("probe"),
-        )
-        .collect()
-    )
-    brackets = []
-    for row in summary:
+    columns = [f"v{i}" for i in range(len(names))]
+    values = features.select(*[F.col(n).cast("double").alias(c) for n, c in zip(names, columns, strict=True)])
+    # A few ranks more than a sketch may be off: of many rows, and of as few as are sketched.
+    shares = (3 / accuracy, 3 / accuracy + 3 / ordered)
+    probes = [min(1.0, max(0.0, q + side * s)) for s in shares for q in QUARTILES for side in (-1, 1)]
+    first = values.agg(
+        *[
+            F.struct(
+                F.count(c).alias("count"),
+                F.avg(c).alias("mean"),
+                F.stddev_samp(c).alias("std"),
+                F.min(c).alias("min"),
+                F.max(c).alias("max"),
+                F.percentile_approx(c, probes, accuracy).alias("probe"),
+            ).alias(c)
+            for c in columns
+        ]
+    ).first()
+    brackets, left = [], 0.0
+    for c in columns:
+        found = first[c]
+        many = found["count"] > max(accuracy, ordered)
         for i, q in enumerate(QUARTILES):
-            low, high = (row.probe[i], row.probe[i + len(QUARTILES)]) if row.probe else (None, None)
-            brackets.append((row.feature, i, (row["count"] - 1) * q, low, high))
-    spark = features.sparkSession
-    table = spark.createDataFrame(
-        brackets, "feature int, quarter int, place double, low double, high double"
-    )
-    unsure = {names[f] for f, _, _, low, high in brackets if low is not None and low < high}
-    found = table.where("low = high").select("feature", "quarter", F.col("low").alias("quartile"))
-    if unsure:
-        found = found.unionByName(_ranked(_long(features, names, unsure), table.where("low < high")))
-    picks = [
-        F.max(F.when(F.col("quarter") == i, F.col("quartile"))).alias(f"q{int(q * 100)}")
-        for i, q in enumerate(QUARTILES)
-    ]
-    totals = spark.createDataFrame(
-        [tuple(row)[:6] for row in summary],
-        "feature int, count long, mean double, std double, min double, max double",
-    )
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature") + 1)
-    return (
-        totals.join(found.groupBy("feature").agg(*picks), "feature", "left")
-        .select(
-            name.alias("feature"),
-            "count",
-            *[F.round(c, 2).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")],
-        )
-        .orderBy("feature")
+            low, high = found.min, found.max  # all of few rows
+            if found["count"] > ordered:
+                at = 2 * i + (0 if many else 2 * len(QUARTILES))
+                low, high = found.probe[at : at + 2]
+                left = max(left, 2 * shares[0 if many else 1] * found["count"])
+            brackets.append(_Bracket(c, f"{c}_{i}", (found["count"] - 1) * q, low, high))
+    while left > ordered:
+        brackets = _narrowed(values, brackets, accuracy)
+        left *= min(0.5, (2 * _margin(accuracy) + 2) / _CUTS + 2 / accuracy)
+    found = values.agg(
+        *[
+            F.struct(
+                *b.counts(), F.sort_array(F.collect_list(F.when(b.holds(), F.col(b.column)))).alias("inside")
+            ).alias(b.name)
+            for b in brackets
+        ]
     )
+    quartiles = {b.name: b.value() for b in brackets}
+    rows = []
+    for name, c in zip(names, columns, strict=True):
+        known = {n: F.lit(first[c][n]).cast("double") for n in ("mean", "std", "min")}
+        known |= {f"q{int(q * 100)}": quartiles[f"{c}_{i}"] for i, q in enumerate(QUARTILES)}
+        known["max"] = F.lit(first[c].max).cast("double")
+        count = F.lit(first[c]["count"]).cast("long").alias("count")
+        rounded = [F.round(v, 2).alias(n) for n, v in known.items()]
+        rows.append(F.struct(F.lit(name).alias("feature"), count, *rounded))
+    return found.select(F.inline(F.array(*rows))).orderBy("feature")
 
 
-def _long(features: DataFrame, names: Sequence[str], only: Collection[str] | None = None) -> DataFrame:
-    """One row per row and feature, the feature by its position in ``names``."""
-    kept = [(i, n) for i, n in enumerate(names) if only is None or n in only]
-    cells = [F.struct(F.lit(i).alias("feature"), F.col(n).cast("double").alias("value")) for i, n in kept]
-    return features.select(F.inline(F.array(*cells)))
+@dataclass(frozen=True)
+class _Bracket:
+    """Two values of a column between which, ends included, the rows at a rank lie.
 
+    ``place`` is the rank counted from 0; between two whole ranks it asks for both.
+    """
 
-def _ranked(values: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Quartiles by linear interpolation between the two ranks around ``place``, (n - 1) * q."""
-    # At most three rows per feature: the broadcast has a fixed size.
-    near = (
-        values.join(F.broadcast(brackets), "feature")
-        .where(F.col("value") <= F.col("high"))
-        .groupBy("feature", "quarter", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    upto = (
-        Window.partitionBy("feature", "quarter")
-        .orderBy(F.asc_nulls_first("value"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = near.withColumn("end", F.sum("rows").over(upto)).join(
-        F.broadcast(brackets.select("feature", "quarter", "place")), ["feature", "quarter"]
-    )
-    place = F.col("place")
+    column: str
+    name: str
+    place: float
+    low: float | None
+    high: float | None
 
-    def at(rank: Column) -> Column:
-        """The value whose run of equal rows holds the rank, counted from 0."""
-        return F.max(F.when((F.col("end") - F.col("rows") <= rank) & (rank < F.col("end")), F.col("value")))
+    def _ends(self) -> tuple[Column, Column]:
+        return F.lit(self.low).cast("double"), F.lit(self.high).cast("double")
 
-    ends = ranked.groupBy("feature", "quarter", "place").agg(
-        at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high")
-    )
-    between = F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))
-    missed = F.raise_error(F.lit("a quartile lies outside its bracket")).cast("double")
-    checked = F.when(between.isNotNull(), between).otherwise(missed)
-    return ends.select("feature", "quarter", checked.alias("quartile"))
+    def holds(self) -> Column:
+        """Strictly between the ends, so that a value of many rows need not be held."""
+        low, high = self._ends()
+        return (F.col(self.column) > low) & (F.col(self.column) < high)
+
+    def counts(self) -> list[Column]:
+        value = F.col(self.column)
+        low, high = self._ends()
+        return [
+            F.count(F.when(value < low, 1)).alias("below"),
+            F.count(F.when(value == low, 1)).alias("at_low"),
+            F.count(F.when(value == high, 1)).alias("at_high"),
+        ]
+
+    def value(self) -> Column:
+        """The interpolated value, from a row with the counts and the values inside."""
+        if self.low is None:
+            return F.lit(None).cast("double")
+        low, high = self._at(math.floor(self.place)), self._at(math.ceil(self.place))
+        between = low + (high - low) * F.lit(self.place - math.floor(self.place))
+        missed = F.raise_error(F.lit("a quartile lies outside its bracket")).cast("double")
+        return F.coalesce(between, missed)
+
+    def _at(self, rank: int) -> Column:
+        found = F.col(self.name)
+        inside = rank - found["below"] - found["at_low"]
+        size = F.size(found["inside"])
+        low, high = self._ends()
+        return (
+            F.when(F.lit(rank) < found["below"], F.lit(None).cast("double"))
+            .when(inside < 0, low)
+            .when(inside < size, F.get(found["inside"], inside.cast("int")))
+            .when(inside < size + found["at_high"], high)
+        )
+
+
+def _margin(accuracy: int) -> int:
+    """Cuts that a rank may be off by in a sketch."""
+    return 1 + math.ceil(_CUTS / accuracy)
+
+
+def _narrowed(values: DataFrame, brackets: list[_Bracket], accuracy: int) -> list[_Bracket]:
+    """Brackets with a small share of what they held: cuts of a sketch of it, around the rank."""
+    steps = [k / _CUTS for k in range(1, _CUTS)]
+    row = values.agg(
+        *[
+            F.struct(
+                *b.counts(),
+                F.count(F.when(b.holds(), 1)).alias("inside"),
+                F.percentile_approx(F.when(b.holds(), F.col(b.column)), steps, accuracy).alias("cuts"),
+            ).alias(b.name)
+            for b in brackets
+        ]
+    ).first()
+    out = []
+    for b in brackets:
+        found = row[b.name]
+        if found.inside:
+            # Some cuts more on either side than the rank needs; beyond the last cut the end stays.
+            before = found.below + found.at_low
+            down = math.floor((math.floor(b.place) - before) * _CUTS / found.inside) - _margin(accuracy)
+            up = math.ceil((math.ceil(b.place) + 1 - before) * _CUTS / found.inside) + _margin(accuracy)
+            low = found.cuts[min(down, _CUTS - 1) - 1] if down >= 1 else b.low
+            high = found.cuts[max(up, 1) - 1] if up <= _CUTS - 1 else b.high
+            b = replace(b, low=low, high=high)
+        out.append(b)
+    return out

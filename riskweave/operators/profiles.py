@@ -52,24 +52,42 @@ def with_spike_limit(df: DataFrame, source: DataFrame, hot_share: float = HOT_SH
     )
 
 
-def with_user_day(df: DataFrame, source: DataFrame | None = None, hot_share: float = HOT_SHARE) -> DataFrame:
-    """Rows plus ``day_count``, ``user_mean`` and ``spike_limit`` in a single shuffle of the rows.
+def user_days(df: DataFrame) -> DataFrame:
+    """(user_id, txn_date, day_rows, day_count, day_amounts, day_cents): mergeable by adding up.
 
-    User totals are summed from the user-day table, where no user has more rows than days.
-    ``source`` gives other rows to take the statistics from, such as a training part.
+    Rows without a time go under a day of their own, since they still have a user mean.
     """
-    source = df if source is None else source
     day = F.coalesce(F.col("txn_time").cast("date"), F.expr(_NO_DAY))
-    days = (
-        source.where(F.col("user_id").isNotNull())
+    return (
+        df.where(F.col("user_id").isNotNull())
         .groupBy("user_id", day.alias("txn_date"))
         .agg(
             F.count(F.lit(1)).alias("day_rows"),
             F.count("txn_id").alias("day_count"),
             F.count("amount").alias("day_amounts"),
-            F.sum(cents("amount")).alias("day_cents"),
+            F.coalesce(F.sum(cents("amount")), F.lit(0)).alias("day_cents"),
         )
     )
+
+
+def with_user_day(
+    df: DataFrame,
+    source: DataFrame | None = None,
+    hot_share: float = HOT_SHARE,
+    days: DataFrame | None = None,
+) -> DataFrame:
+    """Rows plus ``day_count``, ``user_mean`` and ``spike_limit`` in a single shuffle of the rows.
+
+    User totals are summed from the user-day table, where no user has more rows than days.
+    ``source`` gives other rows to take the statistics from, such as a training part, and ``days``
+    that table itself, one row per user and day, as a profile table keeps it.
+    """
+    day = F.coalesce(F.col("txn_time").cast("date"), F.expr(_NO_DAY))
+    if days is None:
+        source = df if source is None else source
+        days, total = user_days(source), row_total(source)
+    else:
+        total = days.agg(F.sum("day_rows")).scalar()
     # A window rather than a join back: each user has one row per day here.
     user = Window.partitionBy("user_id")
     totals = days.select(
@@ -95,7 +113,7 @@ def with_user_day(df: DataFrame, source: DataFrame | None = None, hot_share: flo
         ["user_id", "txn_date"],
         ["day_count", "user_mean", "spike_limit"],
         rows="day_rows",
-        total=row_total(source),
+        total=total,
         spread_by=["txn_id"],
         hot_share=hot_share,
     )

@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import random
 from collections import Counter
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from rows import NOON, collected, frame, made, random_rows
 
 from riskweave.operators.explore import age_bucket, fraud_by_account_age, fraud_by_kyc, overview
+from riskweave.operators import features
 from riskweave.operators.features import FEATURES_V1, FEATURES_V2, feature_stats, features_v1, features_v2, flag_counts
 from riskweave.operators.split import class_weights, stratified_split
 
@@ -93,6 +95,61 @@ def test_stats_equal_pandas(spark, accuracy, n):
             assert row["std"] == pytest.approx(want[name]["std"], abs=0.00501)
 
 
+@pytest.mark.parametrize("accuracy", [50, 1_000])
+@pytest.mark.parametrize("ordered", [20, 200])
+def test_stats_narrow_until_few_values_are_left(spark, accuracy, ordered):
+    rng = random.Random(accuracy + ordered)
+    n = 6_000
+    columns = {
+        "spread": [rng.random() * 1e6 for _ in range(n)],
+        "crowded": [rng.choice([0.0, 0.0, 0.0, 1.0, 1.0, rng.random()]) for _ in range(n)],
+        "two": [float(rng.random() < 0.25) for _ in range(n)],
+        "near": [1.0 + rng.randrange(5) * 2.0**-50 for _ in range(n)],
+        "holes": [rng.choice([None, None, rng.gauss(0, 1)]) for _ in range(n)],
+    }
+    rows = list(zip(*columns.values(), strict=True))
+    schema = ", ".join(f"{name} double" for name in columns)
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    want = pd.DataFrame(columns, dtype=float).describe()
+    for r in feature_stats(df, tuple(columns), accuracy, ordered).collect():
+        for ours, theirs in (("q25", "25%"), ("q50", "50%"), ("q75", "75%")):
+            assert r[ours] == pytest.approx(want[r.feature][theirs], abs=0.00501), (r.feature, ours)
+
+
+def test_what_is_ordered_does_not_grow(spark):
+    """The values that stay in the last brackets, of 10,000 rows and of 1,000,000."""
+    held = []
+    for n in (10_000, 1_000_000):
+        df = spark.range(n).select(((F.col("id") * 7_919) % n).cast("double").alias("v0"))
+        seen = []
+        original = features.F.collect_list
+
+        def counted(column, seen=seen, original=original):
+            seen.append(F.count(column))
+            return original(column)
+
+        features.F.collect_list = counted
+        try:
+            feature_stats(df, ("v0",))
+        finally:
+            features.F.collect_list = original
+        held.append(max(df.agg(*seen).first()))
+    assert held[0] <= features.ORDERED_VALUES and held[1] <= features.ORDERED_VALUES
+
+
+def test_stats_run_one_job_first_and_keep_rows_whole(spark):
+    df = spark.range(1_000).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("stats", "stats")
+    try:
+        out = feature_stats(df, ("a", "b"))
+        assert len(jobs.getJobIdsForGroup("stats")) <= 2  # one action; Spark may run a stage as its own job
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Window" not in plan
+
+
 def test_stats_of_an_unknown_column(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
     rows = {r.feature: tuple(r)[1:] for r in feature_stats(df, ("a", "b")).collect()}
@@ -115,6 +172,40 @@ def test_split_is_exact_per_class(spark, test_pct):
     assert got == expected
 
 
+@pytest.mark.parametrize("hot_share", [0.0, 2.0])
+def test_split_with_unknown_keys_and_labels(spark, hot_share):
+    rows = [(None if k < 600 else k, k % 2 if k % 5 else None, k) for k in range(1_000)]
+    df = spark.createDataFrame(rows, "txn_id long, is_fraud int, x long").repartition(5)
+    got = stratified_split(df, hot_share=hot_share)
+    assert got.count() == 1_000
+    counts = {(r.is_fraud, r.known, r.part): r["count"] for r in got.groupBy(
+        "is_fraud", F.col("txn_id").isNotNull().alias("known"), "part").count().collect()}
+    for label in (0, 1, None):
+        known = sum(1 for key, y, _ in rows if key is not None and y == label)
+        assert counts[label, True, "test"] == (known * 20 + 50) // 100
+        assert (label, False, "test") not in counts
+
+
+def test_split_divides_repeated_keys(spark):
+    df = spark.createDataFrame([(7, 0, k) for k in range(100)], "txn_id long, is_fraud int, x long")
+    assert stratified_split(df).where("part = 'test'").count() == 20
+
+
+def test_split_refuses_equal_rows_on_both_sides(spark):
+    df = spark.createDataFrame([(7, 0)] * 100, "txn_id long, is_fraud int")
+    with pytest.raises(Exception, match="tells them apart"):
+        stratified_split(df).collect()
+    assert stratified_split(df, test_pct=100).where("part = 'test'").count() == 100
+
+
+@pytest.mark.parametrize("hot_share", [0.0, 2.0])
+def test_split_of_many_classes_by_any_key(spark, hot_share):
+    rows = [(f"k{k}", f"class {k % 40}") for k in range(400)]
+    df = spark.createDataFrame(rows, "name string, kind string")
+    got = stratified_split(df, label="kind", key="name", hot_share=hot_share)
+    assert {r["count"] for r in got.where("part = 'test'").groupBy("kind").count().collect()} == {2}
+
+
 def test_split_depends_on_the_seed(spark):
     df = made(spark, *[{} for _ in range(100)])
     parts = [

@@ -1,5 +1,6 @@
 """Readers for the two input tables."""
 
+from .rejects import Loaded, load_checked, reject_summary
 from .tables import (
     conform,
     dataset_check,
@@ -10,10 +11,13 @@ from .tables import (
 )
 
 __all__ = [
+    "Loaded",
     "conform",
     "dataset_check",
+    "load_checked",
     "load_merchants",
     "load_transactions",
     "read_jdbc",
     "read_table",
+    "reject_summary",
 ]

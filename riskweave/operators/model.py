@@ -40,9 +40,11 @@ def train_model(train: DataFrame, spec: ModelSpec, label: str = "is_fraud") -> P
     """Fit on the training part. A positive row weighs as much as the class ratio says.
 
     Every tree reads its input again, so that is bounded: equal rows become one of that weight
-    where all rows go into every tree, and above ``spec.max_rows`` a sample is drawn.
+    where all rows go into every tree, and above ``spec.max_rows`` a sample is drawn. Unknown
+    features count as 0; rows of an unknown label teach nothing.
     """
-    rows = train.select(label, *spec.features).fillna(0)
+    known = train.where(F.col(label).isNotNull())
+    rows = known.select(label, *spec.features).fillna(0, list(spec.features))
     if spec.row_share == 1.0:
         rows = rows.groupBy(label, *spec.features).agg(F.count(F.lit(1)).alias("_rows"))
     else:

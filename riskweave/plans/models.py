@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.features import features_v1, features_v2
 from ..operators.model import MODEL_V1, MODEL_V2, ModelSpec, kept, score_model, train_model
@@ -17,6 +18,7 @@ class Fitted(NamedTuple):
     spec: ModelSpec
     model: PipelineModel
     train: DataFrame
+    test: DataFrame
     scored: DataFrame
 
 
@@ -28,10 +30,10 @@ def fitted(spark: SparkSession, sf_dir: str, spec: ModelSpec) -> Fitted:
     """Features, split, fit and scored test part; the scores are kept."""
     key = (spark.sparkContext.applicationId, sf_dir, spec.name)
     if key not in _FITS:
-        rows = stratified_split(_BUILDERS[spec.name](transactions(spark, sf_dir)))
-        train = rows.where("part = 'train'").drop("part")
+        # Kept, since both parts and every report read them.
+        rows = kept(stratified_split(_BUILDERS[spec.name](transactions(spark, sf_dir))))
+        train, test = (rows.where(F.col("part") == part).drop("part") for part in ("train", "test"))
         model = train_model(train, spec)
-        scored = score_model(model, rows.where("part = 'test'").drop("part"))
-        scored = scored.select("txn_id", "is_fraud", "prediction", "probability")
-        _FITS[key] = Fitted(spec, model, train, kept(scored))
+        scored = score_model(model, test).select("txn_id", "is_fraud", "prediction", "probability")
+        _FITS[key] = Fitted(spec, model, train, test, kept(scored))
     return _FITS[key]

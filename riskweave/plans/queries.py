@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signals import flag
 from ..operators import (
+    card_sketches,
     card_testing,
     coverage,
     explore,
@@ -22,11 +23,14 @@ from ..operators import (
     summaries,
     takeover,
     travel,
+    trees,
     velocity,
     weights,
 )
 from ..operators.model import MODEL_V1, MODEL_V2, ModelSpec
+from ..session import shared_path
 from ..sources import dataset_check
+from ..sources.profile_table import ProfileTable
 from . import sample_view
 from .models import fitted
 
@@ -44,9 +48,11 @@ def registry() -> dict[str, Query]:
         "daily_velocity": _on_rows(velocity.daily_velocity),
         "rolling_velocity_1h": _on_rows(velocity.rolling_velocity_1h),
         "bin_attack": _on_rows(card_testing.bin_attack),
+        "weekly_cards": _on_rows(lambda t: card_sketches.weekly_cards(t).drop("estimated_cards")),
         "impossible_travel": _on_rows(travel.impossible_travel),
         "ato_risk": _on_rows(takeover.ato_risk),
         "ato_geo_risk": _on_rows(takeover.ato_geo_risk),
+        "ato_travel_linked": _on_rows(takeover.ato_travel_linked),
         "merchant_chargebacks": lambda spark, path: merchants.merchant_chargebacks(
             sample_view.transactions(spark, path), sample_view.merchants(spark, path)
         ),
@@ -63,6 +69,7 @@ def registry() -> dict[str, Query]:
         "features_v1": _on_rows(features.features_v1),
         "flag_counts": _on_rows(lambda t: features.flag_counts(features.features_v1(t))),
         "features_v2": _on_rows(features.features_v2),
+        "features_v2_from_profiles": _features_from_profiles,
         "feature_stats": _on_rows(lambda t: features.feature_stats(features.features_v2(t))),
         "stratified_split": _on_rows(
             lambda t: split.stratified_split(t.select("txn_id", "is_fraud"))
@@ -89,6 +96,18 @@ def registry() -> dict[str, Query]:
         "threshold_sweep_model": lambda spark, path: metrics.threshold_sweep(
             fitted(spark, path, MODEL_V2).scored, "probability"
         ),
+        "classification_report_model": lambda spark, path: metrics.classification_report(
+            metrics.confusion_counts(fitted(spark, path, MODEL_V2).scored)
+        ),
+        "confusion_matrix_model": lambda spark, path: metrics.confusion_matrix(
+            metrics.confusion_counts(fitted(spark, path, MODEL_V2).scored)
+        ),
+        "ranking_metrics_model": lambda spark, path: metrics.ranking_metrics(
+            fitted(spark, path, MODEL_V2).scored, "probability"
+        ),
+        "weights_minmax_model": lambda spark, path: weights.weights_minmax(_importance(spark, path)),
+        "score_summary_model_weights": _decisions_by_model_weights,
+        "score_trees_model": _compiled_scores,
         "best_threshold": _on_rows(
             lambda t: metrics.best_threshold(metrics.threshold_sweep_score(t))
         ),
@@ -120,12 +139,11 @@ def _fit_summary(spec: ModelSpec) -> Query:
 
     def query(spark: SparkSession, path: str) -> DataFrame:
         fit = fitted(spark, path, spec)
-        trees = fit.model.stages[-1]
+        forest = fit.model.stages[-1]
         return split.class_weights(fit.train).select(
             F.lit(spec.name).alias("version"),
             F.lit(len(spec.features)).alias("features"),
-            F.lit(trees.getNumTrees).alias("trees"),
-            F.lit(trees.totalNumNodes).alias("nodes"),
+            F.lit(forest.getNumTrees).alias("trees"),
             F.lit(spec.depth).alias("depth"),
             F.lit(spec.rate).alias("rate"),
             (F.col("negatives") + F.col("positives")).alias("train_rows"),
@@ -136,6 +154,36 @@ def _fit_summary(spec: ModelSpec) -> Query:
     return query
 
 
+def _features_from_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """The features by a profile table that was filled in four steps: the older days, then day by day."""
+    t = sample_view.transactions(spark, path)
+    day = F.col("txn_time").cast("date")
+    newest = t.agg(F.max(day)).first()[0]
+    table = ProfileTable(spark, shared_path(spark, "profiles"))
+    steps = [(F.coalesce(day <= F.lit(newest) - 3, F.lit(True)), "older")]
+    steps += [(day == F.lit(newest) - back, f"day-{back}") for back in (2, 1, 0)]
+    for step, name in steps:
+        table.add(t.where(step), name)
+    return features.features_v2(t, days=table.days())
+
+
+def _importance(spark: SparkSession, path: str) -> DataFrame:
+    return model.feature_importance(fitted(spark, path, MODEL_V2).model, MODEL_V2.features)
+
+
+def _decisions_by_model_weights(spark: SparkSession, path: str) -> DataFrame:
+    """The loop closed: importances of the trees become the weights of the score."""
+    found = weights.signal_weights(weights.weights_minmax(_importance(spark, path)))
+    return summaries.decision_summary(scoring.tally_score(sample_view.transactions(spark, path), found))
+
+
+def _compiled_scores(spark: SparkSession, path: str) -> DataFrame:
+    """The test rows scored by the trees as expressions instead of the model."""
+    fit = fitted(spark, path, MODEL_V2)
+    nodes = trees.tree_nodes(fit.model, MODEL_V2.features)
+    return trees.score_trees(nodes, fit.test).select("txn_id", "is_fraud", "prediction", "probability")
+
+
 def _fraud_flag_shares(t: DataFrame) -> DataFrame:
     """Stand-in importances that plain SQL can follow: each flag's share of the fraud rows' flags.
 

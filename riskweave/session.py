@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +24,15 @@ def build_session(app_name: str = "riskweave", master: str | None = None, **conf
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, which ``spark.checkpoint.dir`` names.
+
+    A session without that setting, as in tests, gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="riskweave-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"

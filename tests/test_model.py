@@ -1,8 +1,10 @@
 from dataclasses import replace
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from riskweave.operators import metrics
+from riskweave.operators import metrics, trees
 from riskweave.operators.features import features_v1, features_v2
 from riskweave.operators.model import (
     MODEL_V1,
@@ -69,3 +71,60 @@ def test_sweep_over_probabilities(fits):
     pairs = collected(scored, "probability", "is_fraud")
     for r in rows:
         assert r.caught == sum(y for p, y in pairs if p >= r.threshold)
+
+
+def test_compiled_trees_score_as_the_model_does(spark, fits):
+    for spec, model, scored in fits.values():
+        nodes = trees.tree_nodes(model, spec.features)
+        assert len(nodes) == model.stages[-1].totalNumNodes
+        rows = scored.withColumnsRenamed({"probability": "wanted", "prediction": "class"})
+        got = trees.score_trees(nodes, rows).collect()
+        assert max(abs(r.probability - r.wanted) for r in got) <= 1e-12
+        assert all(r.prediction == r["class"] for r in got)
+
+
+def test_the_same_text_runs_in_another_engine(spark, fits, tmp_path):
+    spec, model, scored = fits["V2"]
+    nodes = trees.tree_nodes(model, spec.features)
+    scored.write.parquet(str(tmp_path / "rows"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW rows AS SELECT * FROM read_parquet('{tmp_path}/rows/*.parquet')")
+    con.execute(
+        f"CREATE TABLE scores AS SELECT txn_id, is_fraud, probability AS wanted, "
+        f"{trees.probability_sql(trees.margin_sql(nodes))} AS p FROM rows"
+    )
+    assert con.sql("SELECT max(abs(p - wanted)) FROM scores").fetchall()[0][0] <= 1e-12
+    for r in metrics.threshold_sweep(scored, "probability").collect():
+        caught, flagged = con.execute(
+            "SELECT count(*) FILTER (is_fraud = 1), count(*) FROM scores WHERE p >= ?", [r.threshold]
+        ).fetchone()
+        assert r.caught == caught and r.fp_rate == pytest.approx((flagged - caught) / flagged * 100)
+    (cells,) = con.sql(
+        "SELECT count(*) FILTER (p <= 0.5 AND is_fraud = 0), count(*) FILTER (p > 0.5 AND is_fraud = 0), "
+        "count(*) FILTER (p <= 0.5 AND is_fraud = 1), count(*) FILTER (p > 0.5 AND is_fraud = 1) FROM scores"
+    ).fetchall()
+    assert tuple(metrics.confusion_matrix(metrics.confusion_counts(scored)).first()) == cells
+
+
+def test_unknown_features_and_node_table(spark, fits):
+    spec, model, scored = fits["V2"]
+    nodes = trees.tree_nodes(model, spec.features)
+    holes = scored.select("txn_id", *[F.lit(None).cast("double").alias(f) for f in spec.features]).limit(1)
+    zeros = scored.select("txn_id", *[F.lit(0.0).alias(f) for f in spec.features]).limit(1)
+    first = trees.score_trees(nodes, holes).first().probability
+    assert first == trees.score_trees(nodes, zeros).first().probability
+    table = trees.node_table(spark, nodes)
+    assert table.count() == len(nodes)
+    assert table.where("feature IS NULL").agg(F.count("prediction")).first()[0] == table.where(
+        "prediction IS NOT NULL"
+    ).count()
+    assert trees.score_trees([], zeros).first().probability == 0.5
+
+
+
+def test_rows_of_unknown_label_are_not_learnt_from(spark):
+    rows = [(float(k % 7), k % 2) for k in range(100)] + [(float(k), None) for k in range(50)]
+    spec = replace(MODEL_V1, features=("x",), trees=2)
+    df = spark.createDataFrame(rows, "x double, is_fraud int")
+    fits = [train_model(some, spec) for some in (df, df.where("is_fraud IS NOT NULL"))]
+    assert trees.tree_nodes(fits[0], ["x"]) == trees.tree_nodes(fits[1], ["x"])

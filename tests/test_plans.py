@@ -11,6 +11,8 @@ from rows import frame, random_rows
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as contract  # noqa: E402
+from riskweave.operators import metrics  # noqa: E402
+from riskweave.operators.metrics import ranking_metrics  # noqa: E402
 from riskweave.operators.profiles import with_spike_limit, with_user_day  # noqa: E402
 from riskweave.operators.skew import HOT_SHARE  # noqa: E402
 from riskweave.operators.summaries import hybrid_summary  # noqa: E402
@@ -96,7 +98,7 @@ def test_skew_join_applies_to_the_suspects_rows(spark, shuffled_joins):
     try:
         rows = random_rows(36, n=6000, users=300, hot_share=0.5)
         df = frame(spark, rows).repartition(8)
-        out = ato_geo_risk(df, ordered=False, hot_share=2.0)
+        out = ato_geo_risk(df, ordered=False)
         assert out.collect()
         assert "SortMergeJoin(skew=true)" in plan(out)
     finally:
@@ -124,3 +126,58 @@ def test_summary_reads_only_what_it_needs(spark, tmp_path):
     text = plan(hybrid_summary(spark.read.parquet(path)))
     assert "card_number" not in text
     assert "merchant_id" not in text
+
+
+def exchanges(df) -> list[str]:
+    return re.findall(r"Exchange hashpartitioning\([^)]*\)", plan(df))
+
+
+def test_travel_shuffles_all_rows_once(spark, shuffled_joins):
+    """The second exchange of a user's rows carries hops and the edges of hot users' slices only."""
+    rows = random_rows(37, n=3000, users=300, hot_share=0.0, span_s=400_000)
+    df = frame(spark, rows).repartition(4)
+    out = impossible_travel(df, ordered=False, hot_share=0.5)
+    second = [n for n in nodes(out, "ShuffleExchange") if "_w" in n[0] or "CASE WHEN" in n[0]]
+    assert second
+    known = sum(r["txn_time"] is not None for r in rows)
+    out.collect()
+    assert min(written(out)) == out.count()
+    assert sorted(written(out))[-1] == known
+
+
+def nodes(df, name: str) -> list[tuple[str, object]]:
+    """(text, node) of the plan's nodes of that kind."""
+    found, waiting = [], [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.getClass().getSimpleName().startswith(name):
+            found.append((node.simpleString(1000), node))
+        children = node.children()
+        waiting += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def written(df) -> list[int]:
+    """Rows that each exchange of rows has written, once the plan has run."""
+    by_key = [n for text, n in nodes(df, "ShuffleExchange") if "REPARTITION" in text or "CASE WHEN" in text or "_w" in text]
+    return [n.metrics().apply("shuffleRecordsWritten").value() for n in by_key]
+
+
+def test_ranking_evaluates_the_scored_rows_once(spark, shuffled_joins):
+    scored = spark.range(1000).select(
+        (F.col("id") % 50).cast("double").alias("score"), (F.col("id") % 3 == 0).cast("int").alias("is_fraud")
+    )
+    text = plan(ranking_metrics(scored, "score"))
+    assert text.count(" Range (") == 1  # the sketch and both sides of the join share one shuffle
+    assert text.count("ReusedExchange") == 2
+
+
+def test_crowded_scores_are_dealt_evenly(spark):
+    crowd = spark.range(100_000).select((F.lit(0.5) + F.col("id") * 1e-11).alias("score"))
+    one = spark.createDataFrame([(1e9,)], "score double")
+    counts = crowd.union(one).groupBy("score").agg(
+        F.count(F.lit(1)).alias("pos"), F.count(F.lit(1)).alias("neg")
+    )
+    cells = metrics._with_cell(counts, F.col("score"), 32).groupBy("cell").count().collect()
+    assert max(r["count"] for r in cells) <= 0.02 * 100_001
+    assert sum(r["count"] for r in cells) == 100_001

@@ -26,6 +26,8 @@ HEADLINE = (
     "impossible_travel",
     "ato_risk",
     "ato_geo_risk",
+    "ato_travel_linked",
+    "weekly_cards",
     "merchant_chargebacks",
     "structuring",
     "hybrid_decisions",

@@ -47,9 +47,40 @@ HARD_RULES: tuple[str, ...] = (
     "risk_segment = 'High' AND kyc_verified = 0 AND merchant_cat IN ('Crypto', 'Gaming')",
 )
 
+# All of these together are a takeover.
+TAKEOVER: tuple[str, ...] = ("failed_logins > 2", "txn_type = 'CNP'", "amount > 500", "kyc_verified = 0")
+
 REVIEW_CUT = 25
 BLOCK_CUT = 50
 
+FEATURES_V1 = (
+    "flag_high_amount",
+    "flag_cnp",
+    "flag_foreign",
+    "flag_failed_logins",
+    "flag_no_kyc",
+    "flag_new_account",
+    "flag_risky_merchant",
+    "flag_high_risk_seg",
+    "flag_off_hours",
+    "flag_velocity",
+    "flag_amt_spike",
+)
+
+FEATURES_V2 = (
+    "amount",
+    "failed_logins",
+    "account_age",
+    "kyc_verified",
+    "daily_velocity",
+    "amt_vs_avg_ratio",
+    "txn_hour",
+    "is_foreign",
+    "flag_cnp",
+    "flag_risky_merchant",
+    "flag_high_risk_seg",
+)
+
 # Model features and the signal each one is about; the way from importances back to weights.
 # Daily velocity is a feature of both models, but not a signal.
 FEATURE_SIGNALS: dict[str, str] = {

@@ -9,38 +9,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.signals import SIGNALS, flag, foreign_flag
+from ..functions.signals import FEATURES_V1, FEATURES_V2, SIGNALS, flag, foreign_flag
 from .profiles import with_user_day
 from .skew import HOT_SHARE
 
-FEATURES_V1 = (
-    "flag_high_amount",
-    "flag_cnp",
-    "flag_foreign",
-    "flag_failed_logins",
-    "flag_no_kyc",
-    "flag_new_account",
-    "flag_risky_merchant",
-    "flag_high_risk_seg",
-    "flag_off_hours",
-    "flag_velocity",
-    "flag_amt_spike",
-)
-
-FEATURES_V2 = (
-    "amount",
-    "failed_logins",
-    "account_age",
-    "kyc_verified",
-    "daily_velocity",
-    "amt_vs_avg_ratio",
-    "txn_hour",
-    "is_foreign",
-    "flag_cnp",
-    "flag_risky_merchant",
-    "flag_high_risk_seg",
-)
-
 QUARTILES = (0.25, 0.5, 0.75)
 
 # Values that are ordered for one quartile, about, and cuts of a narrowing sketch.

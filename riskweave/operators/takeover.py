@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.signals import TAKEOVER
 from .intervals import interval_join
 from .skew import CELL_PAIRS, HOT_SHARE, grid_join
 from .travel import SLICE_SECONDS, travel_hops
@@ -12,7 +13,7 @@ from .travel import SLICE_SECONDS, travel_hops
 
 def is_takeover() -> Column:
     """All four takeover signals hold."""
-    return F.expr("failed_logins > 2 AND txn_type = 'CNP' AND amount > 500 AND kyc_verified = 0")
+    return F.expr(" AND ".join(TAKEOVER))
 
 
 def takeover_rows(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import flag
@@ -189,8 +189,8 @@ def _fraud_flag_shares(t: DataFrame) -> DataFrame:
 
     Flags that fire on no fraud row get 0, as unused features do.
     """
-    counts = features.flag_counts(_fraud_flags(t))
-    total = counts.agg(F.sum("flagged")).scalar()
+    counts = features.flag_counts(_fraud_flags(t))  # one row per flag
+    total = F.sum("flagged").over(Window.partitionBy(F.lit(1)))
     return counts.select("feature", (F.col("flagged") / total).alias("importance"))
 
 

@@ -15,7 +15,9 @@ from riskweave.operators.model import (
     train_model,
 )
 from riskweave.operators.split import stratified_split
-from riskweave.plans.sample_view import transactions
+from riskweave.plans import models, oracle, queries
+from riskweave.plans.sample_view import VIEW_SQL, transactions
+from compare import connect, differences
 from rows import collected
 
 SMALL = "/root/testdata/sf0.001"
@@ -95,9 +97,9 @@ def test_the_same_text_runs_in_another_engine(spark, fits, tmp_path):
     )
     assert con.sql("SELECT max(abs(p - wanted)) FROM scores").fetchall()[0][0] <= 1e-12
     for r in metrics.threshold_sweep(scored, "probability").collect():
-        caught, flagged = con.execute(
+        ((caught, flagged),) = con.execute(
             "SELECT count(*) FILTER (is_fraud = 1), count(*) FROM scores WHERE p >= ?", [r.threshold]
-        ).fetchone()
+        ).fetchall()
         assert r.caught == caught and r.fp_rate == pytest.approx((flagged - caught) / flagged * 100)
     (cells,) = con.sql(
         "SELECT count(*) FILTER (p <= 0.5 AND is_fraud = 0), count(*) FILTER (p > 0.5 AND is_fraud = 0), "
@@ -128,3 +130,11 @@ def test_rows_of_unknown_label_are_not_learnt_from(spark):
     df = spark.createDataFrame(rows, "x double, is_fraud int")
     fits = [train_model(some, spec) for some in (df, df.where("is_fraud IS NOT NULL"))]
     assert trees.tree_nodes(fits[0], ["x"]) == trees.tree_nodes(fits[1], ["x"])
+
+
+@pytest.mark.parametrize(("spec", "rate"), [(MODEL_V1, 0.1), (MODEL_V2, 0.05)])
+def test_what_a_fit_is_made_of(spark, monkeypatch, spec, rate):
+    monkeypatch.setattr(models, "_FITS", {})
+    df = queries._fit_summary(replace(spec, trees=2))(spark, SMALL)
+    sql = VIEW_SQL + oracle._training(spec.name, trees=2, rate=rate)
+    assert differences(df, connect(SMALL), sql) == []

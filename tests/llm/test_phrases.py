@@ -10,9 +10,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[2]), str(Path(__file__).resolve().parents[1])]
 
-from riskweave.llm import collocations, lexical, licences
+from compare import connect, differences  # noqa: E402
+
+from riskweave.llm import collocations, lexical, licences, registry  # noqa: E402
 
 UPPER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -262,3 +264,10 @@ def test_accumulators_are_limited(spark, monkeypatch):
     got = lexical.search(left, right, 10).collect()
     assert [r.doc_id for r in got] == list(range(10))
     assert written["survivors"] == 20
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_registered_queries_equal_their_sql(spark, name):
+    small = "/root/testdata/sf0.001"
+    df = registry.queries()[name](spark, small)
+    assert differences(df, connect(small), registry.oracle_sql()[name]) == []

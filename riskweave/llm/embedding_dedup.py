@@ -30,6 +30,7 @@ BLOCK = 256  # vectors of a bucket that are compared at a time
 SMALL = 16  # members of a bucket up to which pairs of many buckets are formed together
 PAIRS_AT_A_TIME = 100_000
 ROWS_AT_A_TIME = 256
+FIRST_TABLES = 8  # tables that are looked into at first for where a pair meets
 
 
 def collision(distance: float) -> float:
@@ -58,15 +59,22 @@ def _directions(size: int, tables: int, projections: int) -> tuple[np.ndarray, n
     )
 
 
-def keys(x: np.ndarray, projections: int, tables: int) -> np.ndarray:
-    """One bucket key per row and table, of 64 bits; tables never share a key by design."""
+def keys(x: np.ndarray, projections: int, tables: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """One bucket key per row and table, of 64 bits; tables never share a key by design.
+
+    With ``start`` and ``stop`` the keys of some of the tables.
+    """
+    stop = tables if stop is None else stop
     directions, shifts = _directions(x.shape[1], tables, projections)
-    out = np.empty((len(x), tables), np.int64)
+    some = slice(start * projections, stop * projections)
+    directions, shifts = directions[:, some], shifts[some]
+    numbers = np.arange(start, stop, dtype=np.uint64) + np.uint64(x.shape[1] << 20)
+    out = np.empty((len(x), stop - start), np.int64)
     for at in range(0, len(x), ROWS_AT_A_TIME):
         u = unit(x[at : at + ROWS_AT_A_TIME])
         steps = np.floor((u @ directions + shifts) / WIDTH).astype(np.int64).astype(np.uint64)
-        steps = steps.reshape(len(u), tables, projections)
-        key = np.broadcast_to(np.arange(tables, dtype=np.uint64) + np.uint64(x.shape[1] << 20), (len(u), tables))
+        steps = steps.reshape(len(u), stop - start, projections)
+        key = np.broadcast_to(numbers, (len(u), stop - start))
         for k in range(projections):
             key = (key ^ steps[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
             key = key ^ (key >> np.uint64(29))
@@ -207,14 +215,8 @@ def _linked(frame: pd.DataFrame, similarity: float, projections: int, tables: in
         if not len(a):
             continue
         used, first = np.unique(node[np.r_[a, b]], return_index=True)
-        known = keys(x[np.r_[a, b][first]], projections, tables)
         i, j = np.searchsorted(used, node[a]), np.searchsorted(used, node[b])
-        first = np.concatenate(
-            [
-                _first_key(known, i[k : k + PAIRS_AT_A_TIME], j[k : k + PAIRS_AT_A_TIME])
-                for k in range(0, len(i), PAIRS_AT_A_TIME)
-            ]
-        ) == group[a, 0]
+        first = _first_here(x[np.r_[a, b][first]], i, j, group[a, 0], projections, tables)
         links = np.bincount(i, copies[b] * first, len(used)) + np.bincount(j, copies[a] * first, len(used))
         yield pd.DataFrame(
             {"node": used, "links": links.astype("int64"), "lowest": used[lowest(i, j, len(used))]}
@@ -246,17 +248,28 @@ def _near(u: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float):
     return a[kept], b[kept]
 
 
-def _first_key(known: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The key of the first table in which both have the same."""
-    same = np.zeros(len(i), np.int64)
-    open_ = np.arange(len(i))
-    for table_ in range(known.shape[1]):
-        hit = known[i[open_], table_] == known[j[open_], table_]
-        same[open_[hit]] = known[i[open_[hit]], table_]
-        open_ = open_[~hit]
-        if not len(open_):
-            break
-    return same
+def _first_here(
+    x: np.ndarray, i: np.ndarray, j: np.ndarray, key: np.ndarray, projections: int, tables: int
+) -> np.ndarray:
+    """Whether each pair of rows first meets under this key.
+
+    Keys are made again for a few tables first: most linked pairs meet early, and only the others
+    need more of them.
+    """
+    out = np.zeros(len(i), bool)
+    waiting, start, width = np.arange(len(i)), 0, FIRST_TABLES
+    while len(waiting) and start < tables:
+        stop = min(tables, start + width)
+        rows, place = np.unique(np.r_[i[waiting], j[waiting]], return_inverse=True)
+        known = keys(x[rows], projections, tables, start, stop)
+        one, two = place[: len(waiting)], place[len(waiting) :]
+        met = np.zeros(len(waiting), bool)
+        for k in range(stop - start):
+            hit = ~met & (known[one, k] == known[two, k])
+            out[waiting[hit]] = known[one[hit], k] == key[waiting[hit]]
+            met |= hit
+        waiting, start, width = waiting[~met], stop, 2 * width
+    return out
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from .features import FEATURES_V1, FEATURES_V2
 from .metrics import confusion_counts, confusion_matrix, ranking_metrics
 
+# Rows of a fit that a task has at least, and at most.
+_LEAST_TASK_ROWS = 20_000
+_MOST_TASK_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class ModelSpec:
@@ -40,7 +45,8 @@ def train_model(train: DataFrame, spec: ModelSpec, label: str = "is_fraud") -> P
     """Fit on the training part. A positive row weighs as much as the class ratio says.
 
     Every tree reads its input again, so that is bounded: equal rows become one of that weight
-    where all rows go into every tree, and above ``spec.max_rows`` a sample is drawn. Unknown
+    where all rows go into every tree, and above ``spec.max_rows`` a sample is drawn. What is read
+    is dealt out to the cores first, since each level of each tree is a round of tasks. Unknown
     features count as 0; rows of an unknown label teach nothing.
     """
     known = train.where(F.col(label).isNotNull())
@@ -58,7 +64,7 @@ def train_model(train: DataFrame, spec: ModelSpec, label: str = "is_fraud") -> P
     ).first()
     ratio = (totals["all"] - totals["fraud"]) / totals["fraud"] if totals["fraud"] else 1.0
     weight = F.col("_rows") * F.when(F.col(label) == 1, ratio).otherwise(1.0)
-    weighted = rows.withColumn("_weight", weight)
+    weighted = _dealt(rows.withColumn("_weight", weight), min(count, spec.max_rows))
     trees = GBTClassifier(
         featuresCol="features",
         labelCol=label,
@@ -77,6 +83,13 @@ def train_model(train: DataFrame, spec: ModelSpec, label: str = "is_fraud") -> P
     return model
 
 
+def _dealt(rows: DataFrame, count: int) -> DataFrame:
+    """About ``count`` rows in one partition per core: fewer where they are few, more where many."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(cores, math.ceil(count / _LEAST_TASK_ROWS)), math.ceil(count / _MOST_TASK_ROWS), 1)
+    return rows.coalesce(1) if parts == 1 else rows.repartition(parts)
+
+
 def score_model(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Predicted class and probability of fraud per row, with the columns of ``rows``."""
     return (

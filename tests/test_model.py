@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import metrics, trees
 from riskweave.operators.features import features_v1, features_v2
 from riskweave.operators.model import (
+    _LEAST_TASK_ROWS,
     MODEL_V1,
     MODEL_V2,
     feature_importance,
@@ -138,3 +139,14 @@ def test_what_a_fit_is_made_of(spark, monkeypatch, spec, rate):
     df = queries._fit_summary(replace(spec, trees=2))(spark, SMALL)
     sql = VIEW_SQL + oracle._training(spec.name, trees=2, rate=rate)
     assert differences(df, connect(SMALL), sql) == []
+
+
+@pytest.mark.parametrize(("rows", "parts", "wanted"), [(2 * _LEAST_TASK_ROWS + 1, 1, 3), (100, 16, 1)])
+def test_rows_of_a_fit_are_dealt_to_the_cores(spark, monkeypatch, rows, parts, wanted):
+    read = []
+    monkeypatch.setattr("pyspark.ml.Pipeline.fit", lambda _, df: read.append(df))
+    ids = spark.range(rows).repartition(parts)
+    df = ids.selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 2 AS INT) AS is_fraud")
+    train_model(df, replace(MODEL_V2, features=("x",)))
+    assert read[0].rdd.getNumPartitions() == wanted
+    assert read[0].count() == rows

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +40,10 @@ def fitted(spark: SparkSession, sf_dir: str, spec: ModelSpec) -> Fitted:
         scored = score_model(model, test).select("txn_id", "is_fraud", "prediction", "probability")
         _FITS[key] = Fitted(spec, model, train, test, kept(scored))
     return _FITS[key]
+
+
+def all_fitted(spark: SparkSession, sf_dir: str, specs: Sequence[ModelSpec]) -> dict[str, Fitted]:
+    """Several models, made side by side: a fit waits for its rounds of tasks more than it computes."""
+    fit = inheritable_thread_target(spark)(lambda spec: fitted(spark, sf_dir, spec))
+    with ThreadPool(len(specs)) as pool:
+        return dict(zip([s.name for s in specs], pool.map(fit, specs), strict=True))

@@ -32,7 +32,7 @@ from ..session import shared_path
 from ..sources import dataset_check
 from ..sources.profile_table import ProfileTable
 from . import sample_view
-from .models import fitted
+from .models import all_fitted, fitted
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,7 +119,7 @@ def registry() -> dict[str, Query]:
         "recall_summary": _on_rows(lambda t: summaries.recall_summary(scoring.tally_hybrid(t))),
         "engine_comparison": _on_rows(summaries.engine_comparison),
         "model_comparison": lambda spark, path: model.model_comparison(
-            {s.name: fitted(spark, path, s).scored for s in (MODEL_V1, MODEL_V2)}
+            {name: fit.scored for name, fit in all_fitted(spark, path, (MODEL_V1, MODEL_V2)).items()}
         ),
         "dataset_check": _on_rows(dataset_check),
     }

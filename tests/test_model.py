@@ -1,4 +1,6 @@
+import threading
 from dataclasses import replace
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -150,3 +152,16 @@ def test_rows_of_a_fit_are_dealt_to_the_cores(spark, monkeypatch, rows, parts, w
     train_model(df, replace(MODEL_V2, features=("x",)))
     assert read[0].rdd.getNumPartitions() == wanted
     assert read[0].count() == rows
+
+
+def test_compared_models_are_fitted_side_by_side(spark, monkeypatch, fits):
+    both = threading.Barrier(2, timeout=60)
+
+    def fitted(spark, path, spec):
+        both.wait()
+        return SimpleNamespace(scored=fits[spec.name][2])
+
+    monkeypatch.setattr(models, "fitted", fitted)
+    monkeypatch.setattr(queries, "fitted", fitted)
+    df = queries.registry()["model_comparison"](spark, SMALL)
+    assert [r.version for r in df.collect()] == ["V1", "V2"]

@@ -9,7 +9,9 @@ merged, so a suffix is rewritten a logarithmic number of times.
 
 What the scans find are seeds. Around each occurrence of one, the strings that it anchors begin
 at consecutive places, its run. Runs that are byte for byte the same elsewhere are repeated as a
-whole; where they are not, as at the ends of a match, every string of the run is looked up.
+whole; where they are not, as at the ends of a match, its strings are looked up: first blocks of
+neighbouring strings by the bytes all of them share, then the strings of blocks where those stand
+elsewhere too.
 """
 
 from __future__ import annotations
@@ -121,10 +123,8 @@ def suffixes(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> Da
     """(row, seed, zone, anchor) of every anchored suffix; ``row`` names the document."""
 
     def anchored(frames):
-        for frame in frames:
-            for at in range(0, len(frame), TEXTS_AT_A_TIME):
-                some = frame.iloc[at : at + TEXTS_AT_A_TIME]
-                yield _suffixes(some["row"].to_numpy(), some["text"], length, seed)
+        for some in _lots(frames):
+            yield _suffixes(some["row"].to_numpy(), some["text"], length, seed)
 
     return documents.select("row", "text").mapInPandas(
         anchored, "row long, seed long, zone long, anchor int"
@@ -149,6 +149,18 @@ def _suffixes(rows: np.ndarray, texts, length: int, seed: int) -> pd.DataFrame:
     )
 
 
+def _seeds(documents: DataFrame, length: int, seed: int) -> DataFrame:
+    """(seed) of every anchored suffix, all that levels are made of."""
+
+    def anchored(frames):
+        for some in _lots(frames):
+            texts = (np.frombuffer(text.encode(), np.uint8) for text in some["text"])
+            found = [runs(Hashes(text), length, seed).seed for text in texts]
+            yield pd.DataFrame({"seed": np.concatenate(found).view(np.int64)})
+
+    return documents.select("text").mapInPandas(anchored, "seed long")
+
+
 class IndexFamily:
     """Sorted arrays of seeds, the levels, of sizes that grow geometrically.
 
@@ -191,7 +203,8 @@ def repeats(
 ) -> DataFrame:
     """``documents`` with ``spans``: the [start, end) bytes of text that lie in repeated strings.
 
-    Columns other than text pass through; none may be called row, data, whole, starts or spans.
+    Columns other than text pass through; none may be called row, data, whole, starts, counts or
+    spans.
 
     Texts are UTF-8 bytes; a null text is empty. A string is repeated if it also starts anywhere
     else in the input, be it in the same text, overlapping itself, or in a row that repeats this
@@ -204,7 +217,7 @@ def repeats(
     family = IndexFamily()
     for k in range(batches):
         part = source.where(F.pmod("row", F.lit(batches)) == k)
-        family.add(suffixes(part, length, seed))
+        family.add(_seeds(part, length, seed))
     marked = store(
         _marked(suffixes(source, length, seed), store(family.seeds(), "seeds")), "marked"
     )
@@ -217,21 +230,24 @@ def repeats(
     found = store(_looked_up(sought, length, seed), "found")
     release(documents.sparkSession)
     whole = marked.where("whole").groupBy("row").agg(F.collect_list("anchor").alias("whole"))
-    single = found.groupBy("row").agg(F.collect_list("start").alias("starts"))
+    single = found.groupBy("row").agg(F.collect_set(F.struct("start", "count")).alias("single"))
+    single = single.select(
+        "row", F.col("single.start").alias("starts"), F.col("single.count").alias("counts")
+    )
     covered = store(whole.join(single, "row", "full_outer"), "covered")
     release(documents.sparkSession)
 
-    def spanned(data, whole, starts):
+    def spanned(data, whole, starts, counts):
         texts = [zstandard.decompress(d) for d in data]
         spans = [
-            _spans(*one, length, seed) for one in zip(texts, whole, starts, strict=True)
+            _spans(*one, length, seed) for one in zip(texts, whole, starts, counts, strict=True)
         ]
         return [text.decode() for text in texts], spans
 
     return mapped(
         packed.join(covered, "row", "left").drop("row"),
         spanned,
-        ("data", "whole", "starts"),
+        ("data", "whole", "starts", "counts"),
         "text string, spans array<array<int>>",
     )
 
@@ -277,37 +293,123 @@ def _packed(source: DataFrame) -> DataFrame:
 
 
 def _looked_up(sought: DataFrame, length: int, seed: int) -> DataFrame:
-    """(row, start) of strings that stand more than once among those looked up, one by one."""
+    """(row, start, count): ``count`` strings from ``start`` that stand more than once among those
+    looked up.
+
+    Equal strings lie in blocks of one core. So a block whose core stands once is done with, one
+    that is the same elsewhere is repeated as a whole, and only the rest goes string by string; of
+    equal blocks one does.
+    """
+
+    def blocked(frames):
+        for some in _lots(frames):
+            yield _blocks(some["row"].to_numpy(), some["data"], some["anchors"], length, seed)
 
     def strings(frames):
-        for frame in frames:
-            for row, data, anchors in zip(
-                frame["row"], frame["data"], frame["anchors"], strict=True
-            ):
-                hashes = Hashes(np.frombuffer(zstandard.decompress(data), np.uint8))
-                found = runs(hashes, length, seed)
-                chosen = np.isin(found.anchor, anchors)
-                counts = (found.last - found.first + 1)[chosen]
-                begin = np.repeat(found.first[chosen], counts)
-                within = np.arange(len(begin)) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = begin + within
-                place = np.repeat(found.anchor[chosen], counts) - start
-                string = hashes.of(start, start + length) ^ _mixed(place.astype(np.uint64))
-                yield pd.DataFrame(
-                    {"string": _mixed(string).view(np.int64), "row": row, "start": start}
-                )
-
-    every = sought.mapInPandas(strings, "string long, row long, start int")
-    repeated = store(
-        every.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"),
-        "strings",
+        for some in _lots(frames):
+            yield _strings(some, length)
+
+    blocks = store(
+        sought.mapInPandas(
+            blocked, "core long, zone long, row long, start int, place int, count int"
+        ),
+        "blocks",
+    )
+    head = F.min(F.struct("row", "start", "place", "count")).alias("head")
+    zones = store(blocks.groupBy("core", "zone").agg(F.count("*").alias("n"), head), "block_zones")
+    lone = (
+        zones.groupBy("core")
+        .agg(F.count("*").alias("zones"), F.min("n").alias("least"))
+        .where("zones > 1 AND least = 1")
+    )
+    heads = zones.join(lone, "core", "left_semi").groupBy("head.row")
+    heads = heads.agg(F.collect_list("head").alias("heads")).select(
+        "row", *[F.col(f"heads.{c}").alias(c) for c in ("start", "place", "count")]
+    )
+    single = store(
+        sought.select("row", "data")
+        .join(heads, "row")
+        .mapInPandas(strings, "string long, row long, start int"),
+        "looked",
     )
     release(sought.sparkSession)
-    return every.join(repeated, "string").select("row", "start").distinct()
+    repeated = single.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    alone = single.join(repeated, "string").select("row", "start", F.lit(1).alias("count"))
+    same = zones.where("n > 1").select("core", "zone")
+    return blocks.join(same, ["core", "zone"], "left_semi").select("row", "start", "count").union(alone)
+
+
+def _lots(frames):
+    for frame in frames:
+        for at in range(0, len(frame), TEXTS_AT_A_TIME):
+            yield frame.iloc[at : at + TEXTS_AT_A_TIME]
+
 
+def _blocks(rows: np.ndarray, texts, anchors, length: int, seed: int) -> pd.DataFrame:
+    """Blocks of the strings of the named anchors' runs.
 
-def _spans(text: bytes, whole, starts, length: int, seed: int) -> list[list[int]]:
-    """Maximal covered [start, end) runs of one text."""
+    A block is some strings with neighbouring places before their anchor. ``core`` hashes the bytes
+    that all of a full block share, ``zone`` those that its strings in this run cover; ``place``
+    is how far the first of them, at ``start``, stands before the anchor.
+    """
+    size = max(1, length // 12)
+    made = []
+    for row, data, some in zip(rows, texts, anchors, strict=True):
+        hashes = Hashes(np.frombuffer(zstandard.decompress(data), np.uint8))
+        found = runs(hashes, length, seed)
+        chosen = np.isin(found.anchor, some)
+        anchor, first, last = found.anchor[chosen], found.first[chosen], found.last[chosen]
+        least = (anchor - last) // size
+        counts = (anchor - first) // size - least + 1
+        run = np.repeat(np.arange(len(anchor)), counts)
+        number = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts - least, counts)
+        latest = anchor[run] - size * number
+        start = np.maximum(latest - size + 1, first[run])
+        end = np.minimum(latest, last[run])
+        place = anchor[run] - start
+        core = hashes.of(latest, latest - size + 1 + length) ^ _mixed(number.astype(np.uint64))
+        shape = (place * (length + 1) + end - start).astype(np.uint64)
+        zone = hashes.of(start, end + length) ^ _mixed(shape)
+        made.append((_mixed(core), _mixed(zone), np.full(len(run), row), start, place, end - start + 1))
+    core, zone, row, start, place, count = map(np.concatenate, zip(*made, strict=True))
+    return pd.DataFrame(
+        {
+            "core": core.view(np.int64),
+            "zone": zone.view(np.int64),
+            "row": row,
+            "start": start.astype(np.int32),
+            "place": place.astype(np.int32),
+            "count": count.astype(np.int32),
+        }
+    )
+
+
+def _strings(some: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Hash of every string of the blocks in ``some``, together with the place of its anchor."""
+    strings, starts = [], []
+    for data, start, place, count in zip(
+        some["data"], some["start"], some["place"], some["count"], strict=True
+    ):
+        hashes = Hashes(np.frombuffer(zstandard.decompress(data), np.uint8))
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        begin = np.repeat(start, count) + within
+        before = (np.repeat(place, count) - within).astype(np.uint64)
+        strings.append(_mixed(hashes.of(begin, begin + length) ^ _mixed(before)))
+        starts.append(begin)
+    return pd.DataFrame(
+        {
+            "string": np.concatenate(strings).view(np.int64),
+            "row": np.repeat(some["row"].to_numpy(), [len(s) for s in starts]),
+            "start": np.concatenate(starts).astype(np.int32),
+        }
+    )
+
+
+def _spans(text: bytes, whole, starts, counts, length: int, seed: int) -> list[list[int]]:
+    """Maximal covered [start, end) runs of one text.
+
+    ``whole`` are anchors whose run is covered, and from each of ``starts`` so many strings are.
+    """
     edge = np.zeros(len(text) + 1, np.int64)
     if whole is not None and len(whole):
         found = runs(Hashes(np.frombuffer(text, np.uint8)), length, seed)
@@ -317,7 +419,7 @@ def _spans(text: bytes, whole, starts, length: int, seed: int) -> list[list[int]
     if starts is not None and len(starts):
         begin = np.asarray(starts, np.int64)
         np.add.at(edge, begin, 1)
-        np.add.at(edge, begin + length, -1)
+        np.add.at(edge, begin + np.asarray(counts, np.int64) - 1 + length, -1)
     inside = np.cumsum(edge) > 0
     turns = np.flatnonzero(np.diff(np.r_[False, inside]))
     return turns.reshape(-1, 2).astype(int).tolist()

@@ -164,6 +164,35 @@ def test_repeats_equal_brute_force(awkward):
     assert sorted(got) == sorted(want)
 
 
+def test_ends_of_matches_are_looked_up_in_blocks(spark, monkeypatch):
+    stored, store = {}, suffix.store
+
+    def noted(df, label):
+        stored[label] = store(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(suffix, "store", noted)
+    shared = [words(k, 250) for k in range(5)]
+    rng = random.Random(11)
+    texts = []
+    for k in range(60):
+        begin, size = rng.randrange(300), rng.randrange(150, 700)
+        texts.append(words(100 + k, 20) + shared[k % 5][begin : begin + size] + words(300 + k, 20))
+    texts += [texts[0], texts[1]]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    count = collections.Counter(t[p : p + 200] for t in texts for p in range(len(t) - 199))
+    got = {r.doc_id: suffix.remaining(r.text, r.spans) for r in suffix.repeats(df).collect()}
+    for k, text in enumerate(texts):
+        gone = np.zeros(len(text), bool)
+        for p in range(len(text) - 199):
+            if count[text[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        assert got[k] == bytes(np.frombuffer(text.encode(), np.uint8)[~gone])
+    # Two ends of a match, each in a few blocks of 16; runs have up to 151 strings.
+    asked = stored["blocks"].agg(F.sum("count")).first()[0]
+    assert 0 < stored["looked"].count() < asked / 2
+
+
 def test_levels_grow_geometrically(spark):
     family = suffix.IndexFamily()
     for k in range(4):

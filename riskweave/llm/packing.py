@@ -6,7 +6,7 @@ import zlib
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +15,19 @@ from .common import table
 
 LONGEST = 1024  # tokens of a sequence at most; a power of two
 END = 0  # id that closes every document
-TEXTS_AT_A_TIME = 1024
+TEXTS_AT_A_TIME = 256
 
 _COLUMNS = "doc_id long, start long, length long, tokens binary, ids_crc32 long, doc_tokens long"
+_SCHEMA = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("start", pa.int64()),
+        ("length", pa.int64()),
+        ("tokens", pa.binary()),
+        ("ids_crc32", pa.int64()),
+        ("doc_tokens", pa.int64()),
+    ]
+)
 
 
 def lengths(tokens: int, longest: int = LONGEST) -> np.ndarray:
@@ -37,15 +47,16 @@ def pack(documents: DataFrame, longest: int = LONGEST) -> DataFrame:
     ``sequence_id`` counts within the reading task.
     """
 
-    def pieces(frames):
+    def pieces(batches):
         encode = _encoder()
-        for frame in frames:
-            for at in range(0, len(frame), TEXTS_AT_A_TIME):
-                yield _cut(frame.iloc[at : at + TEXTS_AT_A_TIME], encode, longest)
+        for batch in batches:
+            # A few rows at a time, so that a task never holds the pieces of a whole batch.
+            for at in range(0, batch.num_rows, TEXTS_AT_A_TIME):
+                yield _cut(batch.slice(at, TEXTS_AT_A_TIME), encode, longest)
 
     return (
         documents.select("doc_id", "text")
-        .mapInPandas(pieces, _COLUMNS)
+        .mapInArrow(pieces, _COLUMNS)
         .withColumn("sequence_id", F.monotonically_increasing_id())
         .withColumn("offset", F.lit(0).cast("long"))
     )
@@ -61,20 +72,20 @@ def _encoder() -> vocabulary.Encoder:
     return vocabulary.Encoder()
 
 
-def _cut(frame: pd.DataFrame, encode: vocabulary.Encoder, longest: int) -> pd.DataFrame:
+def _cut(batch: pa.RecordBatch, encode: vocabulary.Encoder, longest: int) -> pa.RecordBatch:
     rows = []
-    texts = [text or "" for text in frame["text"]]
-    for doc_id, ids in zip(frame["doc_id"], encode(texts), strict=True):
+    texts = [text or "" for text in batch.column("text").to_pylist()]
+    for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
         ids = np.append(ids, np.uint32(END)).astype("<u4").tobytes()
         start, total = 0, len(ids) // 4
         for length in lengths(total, longest).tolist():
             piece = ids[4 * start : 4 * (start + length)]
             rows.append((doc_id, start, length, piece, zlib.crc32(piece), total))
             start += length
-    out = pd.DataFrame(
-        rows, columns=["doc_id", "start", "length", "tokens", "ids_crc32", "doc_tokens"]
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA
     )
-    return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

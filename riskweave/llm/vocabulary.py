@@ -18,7 +18,7 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 
 # Distinct words a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 @cache

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,20 @@ def test_packing_gives_every_id_once(awkward):
     assert long["ids_crc32"].tolist() == [zlib.crc32(t) for t in long["tokens"]]
 
 
+def test_packing_holds_a_few_texts_at_a_time(awkward, monkeypatch):
+    _, df = awkward
+    run, asked = [], []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: run.append(f) or self)
+    packing.pack(df)
+    encode = vocabulary.Encoder()
+    monkeypatch.setattr(packing, "_encoder", lambda: lambda texts: asked.append(len(texts)) or encode(texts))
+    ids, texts = [*range(599), None], [words(k, 9) for k in range(599)] + [None]
+    out = pa.Table.from_batches(run[0]([pa.RecordBatch.from_pydict({"doc_id": ids, "text": texts})]))
+    assert sum(asked) == 600 and max(asked) <= 256
+    assert set(out["doc_id"].to_pylist()) == set(ids)
+    assert out["length"].to_numpy().sum() == sum(len(x) + 1 for x in encode([t or "" for t in texts]))
+
+
 def test_buckets_hold_one_length_each(spark, awkward, tmp_path):
     _, df = awkward
     packed = packing.pack(df)

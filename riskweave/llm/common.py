@@ -16,6 +16,26 @@ from pyspark.sql.types import StructType
 ROWS_AT_A_TIME = 256  # rows that a function of lists gets
 
 
+_memory: list = []  # whose memory a worker keeps, and what is in it
+
+
+def remembered(owner, fresh):
+    """What this worker remembers for ``owner``, at first what ``fresh`` makes.
+
+    A worker lives through many stages and remembers for one of them: what it kept for another
+    goes before anything is made for this one.
+    """
+    if not _memory or _memory[0] is not owner:
+        _memory.clear()
+        _memory[:] = [owner, fresh()]
+    return _memory[1]
+
+
+def forget() -> None:
+    """Let go of what this worker remembers."""
+    _memory.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; any others stay unread."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -15,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, mapped, ranked_sample, remainder, table
+from .common import forget, held_out, mapped, ranked_sample, remainder, remembered, table
 
 PIECES = "piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -23,6 +24,7 @@ SAMPLE_ROWS = 1_500  # labelled documents per language that a fit sees at most
 SAMPLE_CHARS = 200_000  # longer texts are scored, not learnt from
 SMOOTHING = 0.1  # added to every count
 REMEMBERED = 300_000  # distinct words a worker remembers
+WORDS_AT_A_TIME = 4096
 LONGEST = 16  # characters of a piece at most
 
 
@@ -83,12 +85,9 @@ def fit(documents: DataFrame, rows: int = SAMPLE_ROWS, pieces: str = PIECES) ->
         processor = _processor(pieces)
         for frame in frames:
             for language, texts in frame.groupby("y")["text"]:
-                words = [w for text in texts for w in words_of(text)]
-                found = pd.Series(words, dtype=object).value_counts()
-                split = processor.encode(found.index.tolist(), out_type=str, num_threads=1)
-                exploded = pd.DataFrame({"piece": split, "n": found.to_numpy()}).explode("piece")
-                sums = exploded.groupby("piece")["n"].sum()
-                yield pd.DataFrame({"y": language, "piece": sums.index, "n": sums.to_numpy()})
+                sums = _piece_counts(texts, processor)
+                if sums:
+                    yield pd.DataFrame({"y": language, "piece": [*sums], "n": [*sums.values()]})
 
     counts = (
         sample.mapInPandas(counted, "y string, piece string, n long")
@@ -99,6 +98,20 @@ def fit(documents: DataFrame, rows: int = SAMPLE_ROWS, pieces: str = PIECES) ->
     return _model(counts, vocabulary(pieces))
 
 
+def _piece_counts(texts: Iterable[str], processor) -> Counter[str]:
+    """How often each piece stands in the best segmentations of all words, counted text by text."""
+    found = Counter()
+    for text in texts:
+        found.update(words_of(text))
+    words, sums = list(found), Counter()
+    for at in range(0, len(words), WORDS_AT_A_TIME):
+        some = words[at : at + WORDS_AT_A_TIME]
+        for word, split in zip(some, processor.encode(some, out_type=str, num_threads=1), strict=True):
+            for piece in split:
+                sums[piece] += found[word]
+    return sums
+
+
 def vocabulary(name: str = PIECES) -> list[str]:
     """The pieces of a public vocabulary that stand for characters."""
     p = _processor(name)
@@ -125,12 +138,14 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     """Log-probability of each word in each language, all its segmentations summed.
 
     The forward sums of all words run side by side: step i holds, per word, the probability of
-    its first i characters. A word begins with the mark that the vocabulary puts for a space.
+    its first i characters. Only as many steps are kept as a piece has characters, so a long word
+    takes no more memory than a short one. A word begins with the mark that the vocabulary puts for a space.
     """
     marked = ["▁" + word for word in words]
     unknown = len(model.numbers)
     longest = max(map(len, marked))
-    sums = np.zeros((longest + 1, len(marked), len(model.languages)))
+    turn = LONGEST + 1  # no piece reaches further back, so steps are kept in turn
+    sums = np.zeros((turn, len(marked), len(model.languages)))
     sums[0] = 1.0
     scale = np.zeros((len(marked), 1))
     out = np.zeros((len(marked), len(model.languages)))
@@ -146,19 +161,20 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
                     piece = unknown
                 if piece is not None:
                     rows.append(k)
-                    starts.append(start)
+                    starts.append(start % turn)
                     pieces.append(piece)
         rows = np.array(rows)
         add = sums[starts, rows] * model.probabilities[pieces]
         first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        sums[end, alive] = np.add.reduceat(add, first, axis=0)
+        now = end % turn
+        sums[now, alive] = np.add.reduceat(add, first, axis=0)
         if end % 16 == 0:  # keep long words from running out of range
-            most = sums[end, alive].max(axis=1, keepdims=True)
-            sums[max(0, end - LONGEST) : end + 1, alive] /= most
+            most = sums[now, alive].max(axis=1, keepdims=True)
+            sums[:, alive] /= most
             scale[alive] += np.log(most)
         done = [k for k in alive if len(marked[k]) == end]
         with np.errstate(divide="ignore"):
-            out[done] = np.log(sums[end, done]) + scale[done]
+            out[done] = np.log(sums[now, done]) + scale[done]
     return np.maximum(out, -1e6)
 
 
@@ -183,9 +199,12 @@ def annotate(documents: DataFrame, model: Model) -> DataFrame:
     )
 
 
-_known: dict[str, int] = {}
-_scores: list[np.ndarray] = []
-_owner: list[Model] = []
+class Known:
+    """Words a worker has scored: the row of each, and the rows."""
+
+    def __init__(self, model: Model):
+        self.rows: dict[str, int] = {}
+        self.scores = np.zeros((0, len(model.languages)))
 
 
 def _answers(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
@@ -208,18 +227,19 @@ def _places(words: list[list[str]], model: Model) -> tuple[list[np.ndarray], np.
     """Each document's words as rows of a table of scores, which a worker keeps between calls."""
     if not model.languages:
         return [np.zeros(0, int) for _ in words], np.zeros((0, 0))
-    if not _owner or _owner[0] is not model or len(_known) > REMEMBERED:
-        _known.clear()
-        _scores[:] = [np.zeros((0, len(model.languages)))]
-        _owner[:] = [model]
-    new = sorted({w for some in words for w in some}.difference(_known), key=len)
+    known = remembered(model, lambda: Known(model))
+    if len(known.rows) > REMEMBERED:
+        forget()
+        known = remembered(model, lambda: Known(model))
+    new = sorted({w for some in words for w in some}.difference(known.rows), key=len)
     fresh = [
-        word_scores(model, new[at : at + 4096]) for at in range(0, len(new), 4096)
+        word_scores(model, new[at : at + WORDS_AT_A_TIME])
+        for at in range(0, len(new), WORDS_AT_A_TIME)
     ]
-    _known.update(zip(new, range(len(_known), len(_known) + len(new)), strict=True))
-    _scores[:] = [np.concatenate([_scores[0], *fresh])]
-    find = _known.__getitem__
-    return [np.fromiter(map(find, some), np.int64, len(some)) for some in words], _scores[0]
+    known.rows.update(zip(new, range(len(known.rows), len(known.rows) + len(new)), strict=True))
+    known.scores = np.concatenate([known.scores, *fresh])
+    find = known.rows.__getitem__
+    return [np.fromiter(map(find, some), np.int64, len(some)) for some in words], known.scores
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, store, table
+from .common import forget, release, store, table
 from .graph import components, lowest
 
 WORDS = 5  # of a shingle
@@ -86,6 +86,7 @@ def _sketched(documents: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, digest, keys): the digest stands for the whole set."""
 
     def sketch(frames):
+        forget()
         for frame in frames:
             sets = [shingles(text, words) for text in frame["text"]]
             yield pd.DataFrame(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocabulary
-from .common import table
+from .common import remembered, table
 
 LONGEST = 1024  # tokens of a sequence at most; a power of two
 END = 0  # id that closes every document
@@ -67,9 +66,8 @@ def bucket(packed: DataFrame, path: str) -> None:
     packed.write.partitionBy("length").parquet(path)
 
 
-@cache
 def _encoder() -> vocabulary.Encoder:
-    return vocabulary.Encoder()
+    return remembered(vocabulary.Encoder, vocabulary.Encoder)
 
 
 def _cut(batch: pa.RecordBatch, encode: vocabulary.Encoder, longest: int) -> pa.RecordBatch:

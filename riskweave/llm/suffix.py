@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, release, store, table
+from .common import forget, mapped, release, store, table
 
 LENGTH = 200  # bytes of a repeated string
 SEED = 50  # bytes that an anchor is chosen and indexed by
@@ -211,6 +211,29 @@ def repeats(
     one. Matches never cross texts. Every row is answered; a null doc_id stays null. Strings are
     compared by 64-bit hashes of all their bytes together with the place of their anchor.
     """
+
+    def decoded(texts, spans):
+        return [text.decode() for text in texts], spans
+
+    return answered(
+        documents, decoded, "text string, spans array<array<int>>", length, seed, batches
+    )
+
+
+def answered(
+    documents: DataFrame,
+    answer,
+    added: str,
+    length: int = LENGTH,
+    seed: int = SEED,
+    batches: int = BATCHES,
+) -> DataFrame:
+    """``documents`` with columns ``added`` instead of text, which ``answer`` makes of lists of
+    texts in UTF-8 and of their spans; see ``repeats``.
+
+    What is made of the spans is made where they are found: a second function after the first would
+    keep a second worker for every task, as long as the executor lives.
+    """
     source = documents.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(
         "row", F.xxhash64("doc_id", "text")
     )
@@ -242,13 +265,14 @@ def repeats(
         spans = [
             _spans(*one, length, seed) for one in zip(texts, whole, starts, counts, strict=True)
         ]
-        return [text.decode() for text in texts], spans
+        return answer(texts, spans)
 
+    # Merged, not broadcast, so that packing and this are never one stage with two workers a task.
     return mapped(
-        packed.join(covered, "row", "left").drop("row"),
+        packed.join(covered.hint("merge"), "row", "left").drop("row"),
         spanned,
         ("data", "whole", "starts", "counts"),
-        "text string, spans array<array<int>>",
+        added,
     )
 
 
@@ -340,6 +364,7 @@ def _looked_up(sought: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def _lots(frames):
+    forget()
     for frame in frames:
         for at in range(0, len(frame), TEXTS_AT_A_TIME):
             yield frame.iloc[at : at + TEXTS_AT_A_TIME]
@@ -427,7 +452,12 @@ def _spans(text: bytes, whole, starts, counts, length: int, seed: int) -> list[l
 
 def remaining(text: str, spans) -> bytes:
     """The bytes of ``text`` outside ``spans``."""
-    data, at, parts = text.encode(), 0, []
+    return outside(text.encode(), spans)
+
+
+def outside(data: bytes, spans) -> bytes:
+    """``data`` without ``spans``."""
+    at, parts = 0, []
     for start, end in spans:
         parts.append(data[at:start])
         at = end
@@ -438,8 +468,8 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes removed from every document and the digest of what is left."""
 
     def digested(texts, spans):
-        kept = [remaining(t, s) for t, s in zip(texts, spans, strict=True)]
-        sizes = [len(text.encode()) for text in texts]
+        kept = [outside(t, s) for t, s in zip(texts, spans, strict=True)]
+        sizes = [len(text) for text in texts]
         return (
             sizes,
             [n - len(k) for n, k in zip(sizes, kept, strict=True)],
@@ -447,9 +477,8 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
             [hashlib.sha256(k).hexdigest() for k in kept],
         )
 
-    return mapped(
-        repeats(table(spark, sf_dir, "documents", "doc_id", "text")),
+    return answered(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
         digested,
-        ("text", "spans"),
         "n_bytes long, n_removed long, n_spans long, kept_sha256 string",
     )

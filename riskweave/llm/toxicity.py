@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import held_out, labelled_sample, mapped, remainder, table
+from .common import forget, held_out, labelled_sample, mapped, remainder, remembered, table
 from .linear import sigmoid, sparse_logistic
 
 SAMPLE_ROWS = 2_000  # labelled documents of each class that a fit sees at most
@@ -113,15 +113,12 @@ def annotate(documents: DataFrame, model: Model) -> DataFrame:
     )
 
 
-_known: dict[str, np.ndarray] = {}
-_owner: list[Model] = []
-
-
 def _scores(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    if not _owner or _owner[0] is not model or len(_known) > REMEMBERED:
-        _known.clear()
-        _owner[:] = [model]
-    weights, known = model.weights, _known
+    known: dict[str, np.ndarray] = remembered(model, dict)
+    if len(known) > REMEMBERED:
+        forget()
+        known = remembered(model, dict)
+    weights = model.weights
     out = np.full(len(texts), model.bias)
     for k, text in enumerate(texts):
         if not len(weights):

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from riskweave.llm import bpe, graph, language, minhash, packing, quality, suffix, toxicity, vocabulary
 
 SCHEMA = "doc_id long, text string"
@@ -194,6 +195,34 @@ def test_ends_of_matches_are_looked_up_in_blocks(spark, monkeypatch):
     assert 0 < stored["looked"].count() < asked / 2
 
 
+def _workers_of_a_task(plan, above=0):
+    """Python functions that run in one stage, one after the other, at most."""
+    name = plan.nodeName()
+    above = 0 if "Exchange" in name else above + name.startswith(("MapIn", "FlatMap"))
+    below = plan.children()
+    return max([above, *(_workers_of_a_task(below.apply(k), above) for k in range(below.size()))])
+
+
+def test_a_task_has_one_worker_at_a_time(spark, awkward, tmp_path):
+    rows, df = awkward
+    docs = df.select(
+        "doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").alias("n_chars")
+    )
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    for made in (
+        corpus_pipeline.cut_repeats(spark, docs, ""),
+        suffix.op2_suffix_array(spark, str(tmp_path)),
+        suffix.repeats(df),
+    ):
+        plan = made._jdf.queryExecution().executedPlan()
+        assert _workers_of_a_task(plan.initialPlan()) == 1
+    left = {(repr(r.doc_id), r.text) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert left == {
+        (repr(r.doc_id), suffix.remaining(r.text, r.spans).decode(errors="ignore"))
+        for r in suffix.repeats(df).collect()
+    }
+
+
 def test_levels_grow_geometrically(spark):
     family = suffix.IndexFamily()
     for k in range(4):

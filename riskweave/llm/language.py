@@ -26,13 +26,15 @@ SMOOTHING = 0.1  # added to every count
 REMEMBERED = 300_000  # distinct words a worker remembers
 WORDS_AT_A_TIME = 4096
 LONGEST = 16  # characters of a piece at most
+ASTRAL = 0x10000  # first character beyond the basic plane
 
 
-def _ranges(kinds: str) -> str:
-    """The characters whose general category begins with one of the kinds, as ranges of a class."""
+def _ranges(kinds: str, begin: int, end: int) -> str:
+    """The characters from ``begin`` on, before ``end``, whose general category begins with one of
+    the kinds, as ranges of a class."""
     out, start = [], None
-    for code in range(sys.maxunicode + 2):
-        inside = code <= sys.maxunicode and unicodedata.category(chr(code))[0] in kinds
+    for code in range(begin, end + 1):
+        inside = code < end and unicodedata.category(chr(code))[0] in kinds
         if inside and start is None:
             start = code
         elif not inside and start is not None:
@@ -43,8 +45,16 @@ def _ranges(kinds: str) -> str:
 
 @cache
 def _words() -> re.Pattern:
-    """A word is a letter and the letters and combining marks after it, as Unicode has them."""
-    return re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
+    """A word is a letter and the letters and combining marks after it, as Unicode has them.
+
+    A class is a table for the basic plane, but a list of ranges beyond it, which every space and
+    sign would be compared with; so the list is only asked about characters from beyond.
+    """
+    end = sys.maxunicode + 1
+    first, later = _ranges("L", 0, ASTRAL), _ranges("LM", 0, ASTRAL)
+    beyond = f"(?=[\\U{ASTRAL:08x}-\\U{sys.maxunicode:08x}])"
+    first_beyond, later_beyond = (f"{beyond}[{_ranges(k, ASTRAL, end)}]" for k in ("L", "LM"))
+    return re.compile(f"(?:[{first}]|{first_beyond})[{later}]*(?:{later_beyond}[{later}]*)*")
 
 
 def words_of(text: str | None) -> list[str]:

@@ -1,7 +1,10 @@
 """Words by Unicode, and the whole vocabulary in the sums."""
 
 import collections
+import re
+import time
 import tracemalloc
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -16,6 +19,36 @@ def test_words_are_letters_with_their_marks():
     assert language.words_of(None) == []
 
 
+def test_words_beyond_the_basic_plane():
+    assert language.words_of("😀x😀 é𑄀𑄁a 𑄀 漢字𠀀 𝒳𝒴, 𐐀b") == ["x", "é𑄀𑄁a", "漢字𠀀", "𝒳𝒴", "𐐨b"]
+    near = [chr(k) for k in (*range(0x2000), *range(0xF900, 0x12000))]
+    for between in ("", " ", "a", "\u0301", "𑄀", "😀"):
+        text = between.join(near).lower()
+        want, word = [], ""
+        for c in text + " ":
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or (kind == "M" and word):
+                word += c
+            elif word:
+                want.append(word)
+                word = ""
+        assert language.words_of(text) == want
+
+
+def test_signs_are_not_compared_with_letters_beyond_the_basic_plane():
+    text, plain = "ab, 1; - (2) " * 20_000, re.compile("[a-z][a-z]*")
+
+    def least_time(find):
+        times = []
+        for _ in range(5):
+            begin = time.process_time()
+            assert len(find(text)) == 20_000
+            times.append(time.process_time() - begin)
+        return min(times)
+
+    assert least_time(language.words_of) < 6 * least_time(plain.findall)
+
+
 def test_texts_without_letters_are_unknown():
     counts = pd.DataFrame({"y": ["es", "en"], "piece": ["▁a", "▁b"], "n": [3, 3]})
     model = language._model(counts, language.vocabulary())

@@ -244,6 +244,30 @@ def test_packing_gives_every_id_once(awkward):
     assert long["ids_crc32"].tolist() == [zlib.crc32(t) for t in long["tokens"]]
 
 
+def test_frequent_words_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(vocabulary, "REMEMBERED", 500)
+    whole, asked = vocabulary.tokenizer(), []
+
+    class Counting:
+        def encode_batch_fast(self, lines, **named):
+            asked.extend(lines)
+            return whole.encode_batch_fast(lines, **named)
+
+    encode = vocabulary.Encoder()
+    monkeypatch.setattr(vocabulary, "tokenizer", lambda name: Counting())
+    texts = []
+    for k in range(30):  # some words stand in all texts, the others in one only
+        rare = [f"rare{k}x{j}é" for j in range(60)]
+        texts.append(" ".join(["first", *(f"common{j}" for j in range(40)), *rare, "\n\nend\n"]))
+        texts.append(f"  odd\t white {k}  space \n{rare[0]}. ")
+    for at in range(0, len(texts), 2):
+        for text, ids in zip(texts[at : at + 2], encode(texts[at : at + 2]), strict=True):
+            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(encode._after_space.numbers) + len(encode._known.numbers) <= 500 + 130
+    words = [word for line in asked for word in line.split(" ")]
+    assert words.count("common7") == 1 and words.count("rare7x7é") == 1
+
+
 def test_packing_holds_a_few_texts_at_a_time(awkward, monkeypatch):
     _, df = awkward
     run, asked = [], []

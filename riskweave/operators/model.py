@@ -33,7 +33,6 @@ class ModelSpec:
     row_share: float = 1.0
     column_share: str = "all"
     seed: int = 42
-    max_rows: int = 2_000_000  # rows that a fit reads at most; more are sampled
 
 
 # The two trained models.
@@ -44,10 +43,10 @@ MODEL_V2 = ModelSpec("V2", FEATURES_V2, trees=300, rate=0.05, row_share=0.8, col
 def train_model(train: DataFrame, spec: ModelSpec, label: str = "is_fraud") -> PipelineModel:
     """Fit on the training part. A positive row weighs as much as the class ratio says.
 
-    Every tree reads its input again, so that is bounded: equal rows become one of that weight
-    where all rows go into every tree, and above ``spec.max_rows`` a sample is drawn. What is read
-    is dealt out to the cores first, since each level of each tree is a round of tasks. Unknown
-    features count as 0; rows of an unknown label teach nothing.
+    Every row of a known label takes part. Every tree reads its input again, so equal rows become
+    one of that weight where all rows go into every tree. What is read is dealt out to the cores
+    first, since each level of each tree is a round of tasks. Unknown features count as 0; rows of
+    an unknown label teach nothing.
     """
     known = train.where(F.col(label).isNotNull())
     rows = known.select(label, *spec.features).fillna(0, list(spec.features))
@@ -56,15 +55,14 @@ def train_model(train: DataFrame, spec: ModelSpec, label: str = "is_fraud") -> P
     else:
         rows = rows.withColumn("_rows", F.lit(1).cast("long"))
     rows = kept(rows)
-    count = rows.count()
-    if count > spec.max_rows:
-        rows = rows.sample(spec.max_rows / count, seed=spec.seed)
     totals = rows.agg(
-        F.sum(F.when(F.col(label) == 1, F.col("_rows"))).alias("fraud"), F.sum("_rows").alias("all")
+        F.sum(F.when(F.col(label) == 1, F.col("_rows"))).alias("fraud"),
+        F.sum("_rows").alias("all"),
+        F.count(F.lit(1)).alias("read"),
     ).first()
     ratio = (totals["all"] - totals["fraud"]) / totals["fraud"] if totals["fraud"] else 1.0
     weight = F.col("_rows") * F.when(F.col(label) == 1, ratio).otherwise(1.0)
-    weighted = _dealt(rows.withColumn("_weight", weight), min(count, spec.max_rows))
+    weighted = _dealt(rows.withColumn("_weight", weight), totals["read"])
     trees = GBTClassifier(
         featuresCol="features",
         labelCol=label,
@@ -84,9 +82,10 @@ def train_model(train: DataFrame, spec: ModelSpec, label: str = "is_fraud") -> P
 
 
 def _dealt(rows: DataFrame, count: int) -> DataFrame:
-    """About ``count`` rows in one partition per core: fewer where they are few, more where many."""
+    """About ``count`` rows in one partition per core: fewer where they are few, several where many."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = max(min(cores, math.ceil(count / _LEAST_TASK_ROWS)), math.ceil(count / _MOST_TASK_ROWS), 1)
+    waves = max(math.ceil(count / (cores * _MOST_TASK_ROWS)), 1)
+    parts = max(min(waves * cores, math.ceil(count / _LEAST_TASK_ROWS)), 1)
     return rows.coalesce(1) if parts == 1 else rows.repartition(parts)
 
 

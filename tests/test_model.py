@@ -154,6 +154,19 @@ def test_rows_of_a_fit_are_dealt_to_the_cores(spark, monkeypatch, rows, parts, w
     assert read[0].count() == rows
 
 
+@pytest.mark.parametrize("spec", [MODEL_V1, MODEL_V2])
+def test_every_row_is_learnt_from(spark, monkeypatch, spec):
+    read = []
+    monkeypatch.setattr("pyspark.ml.Pipeline.fit", lambda _, df: read.append(df))
+    rows = 2_000_003  # the first fit groups equal rows, so all of these differ
+    df = spark.range(rows).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 4 = 0 AS INT) AS is_fraud")
+    train_model(df, replace(spec, features=("x",)))
+    assert read[0].selectExpr("count(*)", "sum(x)").first() == (rows, rows * (rows - 1) / 2)
+    fraud = (rows + 3) // 4
+    weights = read[0].groupBy("is_fraud").sum("_weight").collect()
+    assert dict(weights) == pytest.approx({0: rows - fraud, 1: rows - fraud})
+
+
 def test_compared_models_are_fitted_side_by_side(spark, monkeypatch, fits):
     both = threading.Barrier(2, timeout=60)
 

@@ -91,6 +91,9 @@ def deduplicate(embeddings: DataFrame, similarity: float = SIMILARITY) -> DataFr
     vectors, have no links; without an id component_id is null and kept false. Rows that repeat
     an id with the same vector count once; with different vectors each row has the links of its
     own one. Vectors of different length never link.
+
+    What is joined grows with the vectors, and Spark takes it for far smaller than it is: the keys
+    that a function makes of a vector, rows of an explode, packed files. So all joins are merged.
     """
     rows = store(tagged(embeddings), "rows")
     known = rows.where("digest IS NOT NULL")
@@ -111,17 +114,18 @@ def deduplicate(embeddings: DataFrame, similarity: float = SIMILARITY) -> DataFr
     grouped = components(found.select(F.col("node").alias("a"), F.col("lowest").alias("b")))
     placed = store(
         classes.select("digest", "node", "id", "copies")
-        .join(linked, "node", "left")
-        .join(grouped, "node", "left")
+        .join(linked.hint("merge"), "node", "left")
+        .join(grouped.hint("merge"), "node", "left")
         .withColumn("component", F.coalesce("component", "node")),
         "placed",
     )
-    smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    labels = placed.join(smallest, "component").select(
+    # Stored, so that the join after it may split a component that holds most classes.
+    smallest = store(placed.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
+    labels = placed.join(smallest.hint("merge"), "component").select(
         "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
     lowest_id = F.coalesce("component_id", "vec_id")
-    return rows.drop("embedding").join(labels, "digest", "left").select(
+    return rows.drop("embedding").join(labels.hint("merge"), "digest", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         lowest_id.alias("component_id"),
@@ -147,7 +151,7 @@ def _compared(classes: DataFrame, similarity: float) -> DataFrame:
         "buckets",
     )
     placed = store(
-        members.join(shared, "key").withColumn(
+        members.join(shared.hint("merge"), "key").withColumn(
             "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         ),
         "members",
@@ -162,7 +166,7 @@ def _compared(classes: DataFrame, similarity: float) -> DataFrame:
     group = ["key", "low", "high"]
     meetings = (
         placed.withColumn("meeting", F.explode(others))
-        .join(classes.select("node", "copies", "embedding"), "node")
+        .join(classes.select("node", "copies", "embedding").hint("merge"), "node")
         .select("key", "meeting.low", "meeting.high", "block", "node", "copies", "embedding")
         .repartition(*group)
         .sortWithinPartitions(*group, "block", "node")

@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each node is tied to its smallest neighbour below; its other neighbours below are tied to
     that one in its stead, until no node has two. What is left is a forest, in which pointers
-    then double their reach each round. Nothing but the test for an end reaches the driver.
+    then double their reach each round. Nothing but the test for an end reaches the driver: joins
+    are merged, as files of links are far smaller than the links.
     Links with a null end count for nothing.
     """
     edges = store(
@@ -31,14 +32,14 @@ def components(links: DataFrame) -> DataFrame:
             break
         tied = lowest.select("u", F.col("low").alias("v"))
         moved = (
-            edges.join(lowest, "u").where("v <> low").select(F.col("v").alias("u"), "low")
+            edges.join(lowest.hint("merge"), "u").where("v <> low").select(F.col("v").alias("u"), "low")
         )
         edges = store(tied.union(moved).distinct(), "edges")
     above = lowest.select("u", "low")
     while True:
         up = above.select(F.col("u").alias("low"), F.col("low").alias("top"))
         above = store(
-            above.join(up, "low", "left").select(
+            above.join(up.hint("merge"), "low", "left").select(
                 "u", F.coalesce("top", "low").alias("low"), F.col("top").isNotNull().alias("moved")
             ),
             "pointers",

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from riskweave.llm import ann, embedding_dedup, vectors
+from riskweave.llm import ann, embedding_dedup, graph, vectors
 
 
 def frame(spark, x, ids=None):
@@ -86,6 +86,16 @@ def test_rows_that_repeat_an_id_have_their_own_links(spark):
     assert embedding_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_nothing_that_grows_with_the_vectors_is_broadcast(spark, monkeypatch):
+    made = []
+    for module in (embedding_dedup, graph):
+        monkeypatch.setattr(module, "store", lambda df, label, kept=module.store: made.append(df) or kept(df, label))
+    made.append(embedding_dedup.deduplicate(frame(spark, clustered(2, 20, 5))))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in made]
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 5
+    assert not any("Broadcast" in plan for plan in plans)
+
+
 def test_a_task_returns_its_queries_best_only():
     rng = np.random.default_rng(3)
     q, x = rng.standard_normal((20, 16)), rng.standard_normal((500, 16))
